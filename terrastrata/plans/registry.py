@@ -1,4 +1,6 @@
-"""Queries and their SQL, by name."""
+"""All queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import drills, rasters  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
