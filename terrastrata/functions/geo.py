@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,14 +40,21 @@ def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, as the lambda variable of a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ring_edges(ring: Column) -> Column:
     """Edges (x1, y1, x2, y2) of a ring given as an array of points, closed if it isn't."""
-    n = F.size(ring)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.get(ring, i)["x"].alias("x1"), F.get(ring, i)["y"].alias("y1"),
-            F.get(ring, (i + 1) % n)["x"].alias("x2"), F.get(ring, (i + 1) % n)["y"].alias("y2"),
+    return let(
+        ring,
+        lambda r: F.transform(
+            r,
+            lambda p, i: F.struct(
+                p["x"].alias("x1"), p["y"].alias("y1"),
+                F.get(r, (i + 1) % F.size(r))["x"].alias("x2"), F.get(r, (i + 1) % F.size(r))["y"].alias("y2"),
+            ),
         ),
     )
 
@@ -79,8 +87,12 @@ def edge_meets_box(e: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Co
 
 def ring_meets_box(edges: Column, box: tuple[Column, Column, Column, Column]) -> Column:
     """Whether a polygon and a box share a point: an edge touches the box, or the box lies inside."""
-    touches = F.exists(edges, lambda e: edge_meets_box(e, *box))
-    return touches | in_ring((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, edges)
+
+    def meets(own: Column) -> Column:
+        touches = F.exists(own, lambda e: edge_meets_box(e, *box))
+        return touches | in_ring((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, own)
+
+    return let(edges, meets)
 
 
 def ring_area(edges: Column) -> Column:
@@ -103,7 +115,7 @@ def wkt_ring(wkt: Column) -> Column:
             F.get(F.split(F.trim(p), r"\s+"), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(F.trim(p), r"\s+"), F.lit(1)).try_cast("double").alias("y")
         ),
     )
-    return F.when(F.size(parsed) > 0, parsed)
+    return let(parsed, lambda r: F.when(F.size(r) > 0, r))
 
 
 def box_wkt(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
