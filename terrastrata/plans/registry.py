@@ -1,6 +1,6 @@
 """All queries and their SQL, by name."""
 
-from . import catalogs, drills, rasters  # noqa: F401
+from . import axes, catalogs, dates, drills, ingests, rasters  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
