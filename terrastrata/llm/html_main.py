@@ -382,7 +382,7 @@ def fit(pages: int = FIT_PAGES, seed: int = 7) -> Boosted:
 def main_texts(pages: list[str | None], trees: Boosted) -> list[str]:
     """The main text of each page; the trees score the elements of them all at once."""
     parsed = [parse(h) if h else [] for h in pages]
-    rows = [r for nodes in parsed for r in features(nodes)]
+    rows = [r for nodes in parsed if nodes for r in features(nodes)]
     odds = trees.margins(np.array(rows, float)).tolist() if rows else []
     texts, at = [], 0
     for nodes in parsed:
