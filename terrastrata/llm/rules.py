@@ -16,7 +16,7 @@ from .common import cut, hinted, let, table, without, words_of, written
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: Signal -> slack over the fence: what is still ordinary where a group hardly varies.
-SLACK = {"symbols_per_word": 0.5, "dup_line_share": 0.3, "repeat_share": 0.3, "upper_share": 0.4, "mean_word": 4.0}
+SLACK = {"symbols_per_word": 0.25, "dup_line_share": 0.5, "repeat_share": 0.3, "upper_share": 0.4, "mean_word": 4.0}
 REACH, MIN_GROUP, SKETCH_K = 4.0, 200, 400
 #: Groups up to which the thresholds (some 100 bytes each) are broadcast.
 MAX_BROADCAST = 50_000

@@ -137,7 +137,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Weights of the prefixes and words (marked ``$``) that toxic texts of ``sample`` (``text``, ``y``) hold.
 
     Documents are counted per entry. An entry must be tied to toxic texts beyond what chance would give among as
-    many candidates (likelihood ratio); of nested prefixes the strongest stays, of equal ones the
+    many candidates (likelihood ratio); of prefixes of one another the strongest stays, of equal ones the
     longest. Weights are smoothed log-odds.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
@@ -162,12 +162,15 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     ratio = 2 * (a * F.log(a / (n * rate)) + F.when(b > 0, b * F.log(b / (n * (1 - rate)))).otherwise(0.0))
     weight = F.log((a + 0.5 * rate) / (b + 0.5 * (1 - rate)) * (1 - rate) / rate) / 2
     strong = counts.withColumns({"g": ratio, "weight": weight}).where((a / n > max(3 * rate, 0.5)) & (F.col("g") > 2 * math.log(tried)))
-    best = strong.orderBy(F.desc("g"), F.desc(F.length("e")), "e").limit(LEXICON).collect()
+    stem_length = F.length(F.rtrim("e", F.lit("$")))
+    best = strong.orderBy(F.desc("g"), F.desc(stem_length), "e").limit(LEXICON).collect()
     learned: dict[str, float] = {}
+    inner: set[str] = set()  # all prefixes of what is kept
     for r in best:
         stem = r["e"].rstrip("$")
-        if not any(stem[:k] in learned for k in range(PREFIX[0], len(stem) + 1)):
+        if stem not in inner and not any(stem[:k] in learned for k in range(PREFIX[0], len(stem) + 1)):
             learned[r["e"]] = float(r["weight"])
+            inner |= {stem[:k] for k in range(PREFIX[0], len(stem) + 1)}
     return learned
 
 
