@@ -145,3 +145,77 @@ def pixel_window(low: Column, high: Column, origin: Column, step: Column, count:
 def clamp_pixel(coord: Column, count: int) -> Column:
     """The pixel that holds a coordinate, clamped to the raster."""
     return F.least(F.greatest(F.floor(coord + 1e-10), F.lit(0)), F.lit(count - 1)).cast("int")
+
+
+def segmentized(edges: Column, longest: float) -> Column:
+    """Points along a ring's edges, none farther apart than ``longest``."""
+
+    def along(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        n = F.greatest(F.ceil(F.hypot(dx, dy) / longest), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((e["x1"] + dx * k / n).alias("x"), (e["y1"] + dy * k / n).alias("y")))
+
+    return F.flatten(F.transform(edges, along))
+
+
+def envelope(ring: Column) -> Column:
+    """The box of a ring's points."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+
+
+def without_repeats(ring: Column, tolerance: float = 0.0) -> Column:
+    """A ring without points that lie within ``tolerance`` of the one before."""
+    return let(
+        ring,
+        lambda r: F.filter(
+            r, lambda p, i: (i == 0) | (F.hypot(p["x"] - F.get(r, i - 1)["x"], p["y"] - F.get(r, i - 1)["y"]) > tolerance)
+        ),
+    )
+
+
+def split_dateline(box: tuple[Column, Column, Column, Column]) -> Column:
+    """A box over the antimeridian (west side positive, east side negative after its shift) as two boxes.
+
+    A box from a negative to a positive longitude is taken to go the other way round; others stay.
+    """
+    xmin, ymin, xmax, ymax = box
+    one = lambda a, b: F.struct(a.alias("xmin"), ymin.alias("ymin"), b.alias("xmax"), ymax.alias("ymax"))
+    both = F.array(one(xmax, F.lit(180.0)), one(F.lit(-180.0), xmin))
+    return F.when((xmin < 0) & (xmax > 0), both).otherwise(F.array(one(xmin, xmax)))
+
+
+def lossy_transform(ring: Column, source: int, target: int) -> Column:
+    """A ring's points in another system, without those that can't be carried over."""
+
+    def move(p: Column) -> Column:
+        x, y = transform(p["x"], p["y"], source, target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.filter(F.transform(ring, move), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+
+def hull(ring: Column) -> Column:
+    """The convex hull of a ring's points, from the leftmost round to the left.
+
+    Points in order of x and y; one pass per side keeps a chain that only turns left.
+    """
+
+    def side(points_: Column) -> Column:
+        def add(chain: Column, p: Column) -> Column:
+            def trimmed(c: Column) -> Column:
+                n = F.size(c)
+                a, b = F.get(c, n - 2), F.get(c, n - 1)
+                turn = (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+                return F.when((n >= 2) & (turn <= 0), F.slice(c, 1, n - 1)).otherwise(c)
+
+            cut = F.aggregate(F.sequence(F.lit(1), F.size(chain) + 1), chain, lambda c, _: trimmed(c))
+            return F.array_append(cut, p)
+
+        return F.aggregate(points_, F.array().cast("array<struct<x:double,y:double>>"), add)
+
+    def joined(p: Column) -> Column:
+        lower, upper = side(p), side(F.reverse(p))
+        return F.concat(F.slice(lower, 1, F.size(lower) - 1), F.slice(upper, 1, F.size(upper) - 1))
+
+    return let(F.sort_array(F.array_distinct(ring)), lambda p: F.when(F.size(p) > 2, joined(p)).otherwise(p))
