@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .nearest import nearest as nearest_on_line
+
 
 def by_index(params: Column, indices: list[tuple[int, int, int]]) -> Column:
     """Positions (from 0, sorted, once each) chosen by ``(start, end, step)`` with the end included.
@@ -44,23 +46,13 @@ def nearest(params: Column, wanted: Column, tolerance: float = 1e-6) -> Column:
     return F.when(inside, F.array_min(every)["i"])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, cell: float = 1000.0) -> DataFrame:
     """Each row of ``left`` with the nearest row of ``right`` (``at``, ``value``) in its group; the earlier of two.
 
-    Both sides go in order through one window, which carries the last known row behind and the first
-    ahead: one shuffle, no pairs.
+    ``cell`` is the length of the pieces in which a group's axis is worked on.
     """
-    from pyspark.sql import Window as W
-
-    mark = left.select(*by, at, F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast(right.schema[at].dataType).alias("r"), F.lit(True).alias("probe"))
-    known = right.select(*by, at, F.col(value).alias("v"), F.col(at).alias("r"), F.lit(False).alias("probe"))
-    w = W.partitionBy(*by).orderBy(at, "probe")
-    back = F.last(F.when(~F.col("probe"), F.struct("r", "v")), True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first(F.when(~F.col("probe"), F.struct("r", "v")), True).over(w.rowsBetween(0, W.unboundedFollowing))
-    both = mark.unionByName(known).withColumns({"b": back, "f": ahead}).where("probe")
-    nearer = F.when(F.col("b").isNull(), F.col("f")).when(F.col("f").isNull(), F.col("b"))
-    best = nearer.when(F.col(at) - F.col("b.r") <= F.col("f.r") - F.col(at), F.col("b")).otherwise(F.col("f"))
-    return both.select(*by, at, best["r"].alias(f"{at}_near"), best["v"].alias(value))
+    out = nearest_on_line(left, right, by, at, value, F.floor(F.col(at) / cell), lambda a, b: b - a)
+    return out.where("__at IS NOT NULL").select(*by, at, F.col("__at").alias(f"{at}_near"), F.col("__value").alias(value))
 
 
 def strides(shape: Column) -> Column:

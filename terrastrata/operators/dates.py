@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import times
+from .nearest import nearest
 
 #: Days by which a series that keeps within months steps near their end.
 MONTH_END_STEP = 4
@@ -119,20 +119,12 @@ def generate(spark: SparkSession, name: str, start: str, end: str, minutes: int
     return made(spark, start, end, minutes) if made else spark.createDataFrame([], "ts timestamp_ntz")
 
 
-def on_grid(observed: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
-    """For each grid date the nearest observed one of its group, the earlier of two.
-
-    One window over both, instead of comparing every pair.
-    """
-    known = observed.select(*by, F.col("ts"), F.col("ts").alias("seen"), F.lit(False).alias("probe"))
-    probes = grid.select(*by, F.col("ts"), F.lit(None).cast("timestamp_ntz").alias("seen"), F.lit(True).alias("probe"))
-    w = W.partitionBy(*by).orderBy("ts", "probe")
-    back = F.last("seen", True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("seen", True).over(w.rowsBetween(0, W.unboundedFollowing))
-    both = known.unionByName(probes).withColumns({"b": back, "f": ahead}).where("probe")
+def on_grid(observed: DataFrame, grid: DataFrame, by: list[str], cell: str = "day") -> DataFrame:
+    """For each grid date the nearest observed one of its group, the earlier of two; ``cell``: see ``nearest``."""
+    known = observed.select(*by, "ts", F.lit(1).alias("one"))
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
-    near = F.when(F.col("f").isNull() | (gap(F.col("b"), F.col("ts")) <= gap(F.col("ts"), F.col("f"))), F.col("b")).otherwise(F.col("f"))
-    return both.select(*by, "ts", F.coalesce(near, F.col("f"), F.col("b")).alias("nearest"))
+    out = nearest(grid, known, by, "ts", "one", F.date_trunc(cell, F.col("ts")), gap)
+    return out.select(*by, "ts", F.col("__at").alias("nearest"))
 
 
 def accumulated(rows: DataFrame, start: str, minutes: int, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,32 +32,43 @@ def pixel_fraction(pixels: DataFrame, by: list[str], low: float, high: float) ->
     return pixels.groupBy(*by).agg(F.coalesce(F.try_divide(inside, valid), F.lit(0.0)).alias("value"), valid.alias("count"))
 
 
-def deciles(pixels: DataFrame, by: list[str], anchors: int = 9) -> DataFrame:
+def deciles(pixels: DataFrame, by: list[str], anchors: int = 9, cells: int = 1024) -> DataFrame:
     """``anchors`` order statistics of the valid values, one row each (``decile`` from 1).
 
     With n values and ``step = n div (anchors + 1)`` the i-th is the value at ``(i + 1) * step`` counted
     from 0, averaged with the next where ``anchors + 1`` divides n; the next is the last at the end.
-    Fewer values than anchors + 1 repeat in sorted order. Values are ranked by a distributed count of
-    equal values, so no group is gathered in one row.
+    Fewer values than anchors + 1 repeat in sorted order.
+
+    Equal values are counted, then counts summed over ``cells`` cells of each group's range. Running
+    counts over the cells say which of them hold a wanted rank; values are ranked within these alone. So
+    neither a group's values nor its distinct values meet in one task.
     """
     counts = pixels.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*by)
-    last = F.sum("c").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumns({"until": last, "n": F.sum("c").over(w)}).withColumn("from", F.col("until") - F.col("c"))
-    wanted = ranked.select(*by, "n").distinct().select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(anchors))).alias("decile"))
+    span = counts.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
+    placed = counts.alias("c").join(span.alias("s"), same("c", "s")).select(*(F.col(f"c.{c}").alias(c) for c in by), "value", "c", place.alias("cell"))
+
+    w = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    running = placed.groupBy(*by, "cell").agg(F.sum("c").alias("m")).withColumn("to", F.sum("m").over(w))
+    running = running.select(*by, "cell", (F.col("to") - F.col("m")).alias("from"), "to")
+
+    wanted = span.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(anchors))).alias("decile"))
     step = F.expr(f"n div {anchors + 1}")
     first = F.when(step > 0, F.col("decile") * step).otherwise((F.col("decile") - 1) % F.col("n"))
     even = (step > 0) & (F.col("n") % (anchors + 1) == 0)
     second = F.when(even, F.least(first + 1, F.col("n") - 1)).otherwise(first)
-    wanted = wanted.withColumns({"i": F.least(first, F.col("n") - 1), "j": second})
-    key = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    at = (F.col("b.from") <= F.col("a.i")) & (F.col("a.i") < F.col("b.until")) | (F.col("b.from") <= F.col("a.j")) & (F.col("a.j") < F.col("b.until"))
-    on = at
-    for k in key:
-        on = on & k
-    return wanted.alias("a").join(ranked.alias("b"), on).groupBy(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.decile").alias("decile")).agg(
-        ((F.min("b.value") + F.max("b.value")) / 2).alias("value"), F.first("a.n").alias("count")
-    )
+    wanted = wanted.select(*by, "n", "decile", F.explode(F.array(first, second)).alias("rank"))
+    at = (F.col("r.from") <= F.col("w.rank")) & (F.col("w.rank") < F.col("r.to"))
+    cell = wanted.alias("w").join(running.alias("r"), same("w", "r") & at)
+    cell = cell.select(*(F.col(f"w.{c}").alias(c) for c in by), "n", "decile", "rank", "cell", "from")
+
+    inner = W.partitionBy(*by, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    needed = placed.alias("p").join(cell.select(*by, "cell").distinct().alias("q"), same("p", "q") & (F.col("p.cell") == F.col("q.cell")), "left_semi")
+    ranked = needed.withColumn("until", F.sum("c").over(inner)).withColumn("since", F.col("until") - F.col("c"))
+    hit = (F.col("k.from") + F.col("v.since") <= F.col("k.rank")) & (F.col("k.rank") < F.col("k.from") + F.col("v.until"))
+    both = cell.alias("k").join(ranked.alias("v"), same("k", "v") & (F.col("k.cell") == F.col("v.cell")) & hit)
+    return both.groupBy(*(F.col(f"k.{c}").alias(c) for c in by), F.col("k.decile").alias("decile")).agg(F.avg("v.value").alias("value"), F.first("k.n").alias("count"))
 
 
 def weighted_merge(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -88,20 +101,19 @@ def from_statistics(files: DataFrame, nodata: float) -> DataFrame:
 def strided(rows: DataFrame, stride: int, order: str = "band_no", by: list[str] | None = None) -> DataFrame:
     """Read every ``stride``-th band and fill those between by straight lines; counts are rounded means.
 
-    Bands behind the last one read repeat it.
+    Bands behind the last one read repeat it. Each band finds the two it lies between by their numbers,
+    so a long series isn't sorted in one task.
     """
     by = by or []
-    w = W.partitionBy(*by).orderBy(order)
-    read = F.col(order) % stride == 0
-    marked = rows.withColumns({"v": F.when(read, F.col("value")), "c": F.when(read, F.col("count")), "at": F.when(read, F.col(order))})
-    behind, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    v0, c0, a0 = (F.last(x, True).over(behind) for x in ("v", "c", "at"))
-    v1, c1, a1 = (F.coalesce(F.first(x, True).over(ahead), y) for x, y in (("v", v0), ("c", c0), ("at", a0)))
-    marked = marked.withColumns({"v0": v0, "c0": c0, "a0": a0, "v1": v1, "c1": c1, "a1": a1})
-    share = F.coalesce((F.col(order) - F.col("a0")) / F.nullif(F.col("a1") - F.col("a0"), F.lit(0)), F.lit(0.0))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * share
-    count = F.when(read, F.col("count")).otherwise(F.floor((F.col("c0") + F.col("c1")) / 2 + 0.5))
-    return marked.select(*by, order, value.alias("value"), count.cast("long").alias("count"))
+    read = rows.where(F.col(order) % stride == 0).select(*by, F.col(order).alias("a"), F.col("value").alias("v"), F.col("count").alias("c"))
+    low, high = read.withColumnsRenamed({"a": "a0", "v": "v0", "c": "c0"}), read.withColumnsRenamed({"a": "a1", "v": "v1", "c": "c1"})
+    placed = rows.select(*by, order, (F.col(order) - F.col(order) % stride).alias("a0"))
+    placed = placed.withColumn("a1", F.when(F.col(order) % stride > 0, F.col("a0") + stride))
+    near = placed.join(low, [*by, "a0"]).join(high, [*by, "a1"], "left")
+    share = F.when(F.col("v1").isNotNull(), (F.col(order) - F.col("a0")) / stride).otherwise(0.0)
+    value = F.col("v0") + (F.coalesce("v1", "v0") - F.col("v0")) * share
+    count = F.floor((F.col("c0") + F.coalesce("c1", "c0")) / 2 + 0.5)
+    return near.select(*by, order, value.alias("value"), count.cast("long").alias("count"))
 
 
 def csv_lines(values: DataFrame, date: str, name: str, names: list[str], decimals: int = 6) -> DataFrame:

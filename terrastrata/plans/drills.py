@@ -110,7 +110,6 @@ def from_statistics(spark, sf_dir):
 def strided(spark, sf_dir):
     """Every fourth band read, those between interpolated."""
     rows = bands(spark, sf_dir).groupBy(F.col("t").alias("band_no")).agg(F.avg("value").alias("value"), (F.count(F.lit(1)) + F.first("t") % 3).alias("count"))
-    # One series: partitioned by its era, so that no window holds all rows of a long one.
     return drill.strided(rows, 4).withColumn("value", F.round("value", 6))
 
 
