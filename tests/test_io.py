@@ -88,3 +88,21 @@ def test_metrics_stream(spark, tmp_path):
     pipelines.metrics_stream(spark, f"{source}/day=d", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sum(r["requests"] for r in out) >= 20 and all(r["bytes"] == 10 * r["requests"] for r in out)
+
+
+def test_geotiff_round_trip(spark, tmp_path):
+    from terrastrata.sources import geotiff
+
+    rows = [(b, y, x, float(100 * (b == "q") + 10 * y + x)) for b in ("p", "q") for y in range(6) for x in range(5) if (y, x) != (2, 3)]
+    out = geotiff.tiles(spark.createDataFrame(rows, "band string, py int, px int, value double"), [], ["p", "q"], 4, [130.0, 0.5, 0, -20.0, 0, -0.5], 4326, -999.0)
+    for r in out.collect():
+        (tmp_path / f"{r['tile_x']}_{r['tile_y']}.tif").write_bytes(r["tiff"])
+    (tmp_path / "no.tif").write_bytes(b"nothing")
+    heads = {r["path"].rsplit("/", 1)[1]: r for r in geotiff.read_headers(spark, str(tmp_path)).collect()}
+    assert set(heads) == {"0_0.tif", "0_1.tif", "1_0.tif", "1_1.tif"}
+    h = heads["1_1.tif"]
+    assert (h["array_type"], h["x_size"], h["y_size"], h["raster_count"], h["nodata"], h["epsg"]) == ("Float32", 4, 4, 2, -999.0, 4326)
+    assert h["geo_transform"] == [132.0, 0.5, 0.0, -22.0, 0.0, -0.5] and h["polygon"].startswith("POLYGON ((132.000000 -22.000000,134.000000")
+    got = geotiff.read_pixels(spark, str(tmp_path)).where("value IS NOT NULL").collect()
+    seen = sorted(("pq"[r["band"] - 1], r["py"] + 4 * int(r["path"][-5]), r["px"] + 4 * int(r["path"][-7]), r["value"]) for r in got)
+    assert seen == sorted(rows)
