@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .fitting import fit_logistic, labelled_sample
+from .simhash import shingle_hashes
 
 #: Labelled documents the lexicon and the calibration are fitted on, at most (about).
 FIT_ROWS = 16_000
@@ -177,7 +178,11 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and calibration from about ``most`` labelled documents that aren't held out."""
     chosen = cut(labelled_sample(labels.where(~held_out(F.col("doc_id"))), "toxic", most))
-    sample = cut(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"))
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    # Copies would count as evidence again and again: of texts with the same least shingle hash one stays.
+    least = F.array_min(shingle_hashes(F.col("text")))
+    sample = found.groupBy(least.alias("m")).agg(F.min(F.struct("doc_id", "text", "y")).alias("r"))
+    sample = cut(sample.select("r.*"))
     learned = learn_lexicon(sample)
     rows = sample.select("y", _features(learned)(F.col("text")).alias("f")).select("y", "f.*").toPandas().to_numpy(float)
     return learned, fit_logistic(rows[:, 1:], rows[:, 0], ridge=0.1)
