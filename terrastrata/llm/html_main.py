@@ -416,3 +416,16 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract every page."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: For pages of one layout, whose main text is an article element: what extraction must give.
+ORACLE = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages
+), t AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS text FROM a
+), d AS (
+  SELECT page_id, url, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM t
+), s AS (SELECT page_id, url, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM s
+"""

@@ -18,4 +18,5 @@ ORACLES = {
     "op1_chat_format": chat.ORACLE,
     "op4_url_filter": urls.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op7_html_main_text": html_main.ORACLE,
 }
