@@ -44,7 +44,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     xmin = (F.col("o_custkey") % 350 - 180).cast("double")
     ymin = (F.col("o_orderkey") % 170 - 90).cast("double")
     boxes = orders.select(
-        F.col("o_orderkey").alias("id"), clean_name(F.col("o_orderpriority")).alias("ns"), F.concat(F.lit("/g/data/"), F.col("o_orderstatus"), F.lit("/c"), F.col("o_custkey") % 10, F.lit("/o"), F.col("o_orderkey"), F.lit(".nc")).alias("path"),
+        F.col("o_orderkey").alias("id"), clean_name(F.col("o_orderpriority")).alias("ns"), F.concat(F.lit("/v/data/"), F.col("o_orderstatus"), F.lit("/c"), F.col("o_custkey") % 10, F.lit("/o"), F.col("o_orderkey"), F.lit(".nc")).alias("path"),
         xmin.alias("xmin"), ymin.alias("ymin"), (xmin + 1 + F.col("o_orderkey") % 5).alias("xmax"), (ymin + 1 + F.col("o_custkey") % 5).alias("ymax"),
     )
     return boxes.join(stamps, "id").withColumns({"lo": F.array_min("stamps"), "hi": F.array_max("stamps")})
@@ -83,7 +83,7 @@ SQL = {
   CAST(floor(l_discount * 100 + 0.5) AS INT) AS qa, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
   l_extendedprice AS price FROM lineitem)""",
     "footprints": """footprints AS (SELECT o_orderkey AS id, regexp_replace(trim(o_orderpriority), '[^a-zA-Z0-9_]', '_', 'g') AS ns,
-  '/g/data/' || o_orderstatus || '/c' || (o_custkey % 10) || '/o' || o_orderkey || '.nc' AS path,
+  '/v/data/' || o_orderstatus || '/c' || (o_custkey % 10) || '/o' || o_orderkey || '.nc' AS path,
   CAST(o_custkey % 350 - 180 AS DOUBLE) AS xmin, CAST(o_orderkey % 170 - 90 AS DOUBLE) AS ymin,
   CAST(o_custkey % 350 - 180 + 1 + o_orderkey % 5 AS DOUBLE) AS xmax, CAST(o_orderkey % 170 - 90 + 1 + o_custkey % 5 AS DOUBLE) AS ymax,
   stamps, stamps[1] AS lo, stamps[len(stamps)] AS hi

@@ -157,22 +157,22 @@ def _files(spark, sf_dir):
     return catalog.with_parents(footprints(spark, sf_dir).select("id", "path"))
 
 
-@query("descendants", "SELECT id FROM footprints WHERE starts_with(path, '/g/data/F/')", "footprints")
+@query("descendants", "SELECT id FROM footprints WHERE starts_with(path, '/v/data/F/')", "footprints")
 def descendants(spark, sf_dir):
     """Paths below a directory at any depth (F1)."""
-    return _files(spark, sf_dir).where(P.under(F.col("pa_parents"), "/g/data/F")).select("id")
+    return _files(spark, sf_dir).where(P.under(F.col("pa_parents"), "/v/data/F")).select("id")
 
 
-@query("children", "SELECT id FROM footprints WHERE regexp_matches(path, '^/g/data/F/c3/[^/]+$')", "footprints")
+@query("children", "SELECT id FROM footprints WHERE regexp_matches(path, '^/v/data/F/c3/[^/]+$')", "footprints")
 def children(spark, sf_dir):
     """Paths directly in a directory."""
-    return _files(spark, sf_dir).where(P.child_of(F.col("pa_parents"), "/g/data/F/c3")).select("id")
+    return _files(spark, sf_dir).where(P.child_of(F.col("pa_parents"), "/v/data/F/c3")).select("id")
 
 
-@query("nth_ancestor", "SELECT id FROM footprints WHERE starts_with(path, '/g/data/O/')", "footprints")
+@query("nth_ancestor", "SELECT id FROM footprints WHERE starts_with(path, '/v/data/O/')", "footprints")
 def nth_ancestor(spark, sf_dir):
     """Paths whose third ancestor is given."""
-    return _files(spark, sf_dir).where(P.nth_ancestor(F.col("pa_parents"), 3, "/g/data/O")).select("id")
+    return _files(spark, sf_dir).where(P.nth_ancestor(F.col("pa_parents"), 3, "/v/data/O")).select("id")
 
 
 @query("unhash", "SELECT md5(path) AS hash, path FROM footprints WHERE id % 100 = 1", "footprints")
@@ -202,10 +202,10 @@ def clean_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("raw"), clean_name(F.col("o_orderpriority")).alias("name")).distinct()
 
 
-@query("sub_paths", "SELECT string_split(path, '/')[5] AS segment, min(path) AS example FROM footprints WHERE starts_with(path, '/g/data/F/') GROUP BY 1 ORDER BY 1", "footprints")
+@query("sub_paths", "SELECT string_split(path, '/')[5] AS segment, min(path) AS example FROM footprints WHERE starts_with(path, '/v/data/F/') GROUP BY 1 ORDER BY 1", "footprints")
 def sub_paths(spark, sf_dir):
     """Next segments below a path, one example each."""
-    return catalog.sub_paths(footprints(spark, sf_dir), "/g/data/F")
+    return catalog.sub_paths(footprints(spark, sf_dir), "/v/data/F")
 
 
 @query(
@@ -347,10 +347,10 @@ def latest_days(spark, sf_dir):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "id")
 
 
-@query("data_links", "SELECT DISTINCT substr(path, 11) AS link FROM footprints WHERE starts_with(path, '/g/data/F/') ORDER BY link LIMIT 20", "footprints")
+@query("data_links", "SELECT DISTINCT substr(path, 11) AS link FROM footprints WHERE starts_with(path, '/v/data/F/') ORDER BY link LIMIT 20", "footprints")
 def data_links(spark, sf_dir):
     """The first links below a root, without it."""
-    return catalog.data_links(footprints(spark, sf_dir), "/g/data/F/", 20)
+    return catalog.data_links(footprints(spark, sf_dir), "/v/data/F/", 20)
 
 
 @query("drill_dedupe", "SELECT ns, lo_day, max(id) AS id FROM (SELECT ns, strftime(lo, '%Y-%m-%d') AS lo_day, id FROM footprints) GROUP BY ns, lo_day", "footprints")

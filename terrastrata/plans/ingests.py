@@ -160,8 +160,8 @@ def lookup_first(spark, sf_dir):
     return table(spark, sf_dir, "nation").where("n_regionkey = 2").groupBy(F.col("n_regionkey").alias("layer")).agg(F.min("n_nationkey").alias("id"))
 
 
-@query("cache_keys", "SELECT ns, md5('/g/data' || '|1996-01-01|' || ns) AS token, count(*) AS n FROM footprints WHERE lo >= TIMESTAMP '1996-01-01' GROUP BY ns", "footprints")
+@query("cache_keys", "SELECT ns, md5('/v/data' || '|1996-01-01|' || ns) AS token, count(*) AS n FROM footprints WHERE lo >= TIMESTAMP '1996-01-01' GROUP BY ns", "footprints")
 def cache_keys(spark, sf_dir):
     """Answers with the token of their parameters."""
     out = footprints(spark, sf_dir).where(F.col("lo") >= F.lit("1996-01-01").cast("timestamp_ntz")).groupBy("ns").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("ns", P.path_hash(F.concat(F.lit("/g/data|1996-01-01|"), F.col("ns"))).alias("token"), "n")
+    return out.select("ns", P.path_hash(F.concat(F.lit("/v/data|1996-01-01|"), F.col("ns"))).alias("token"), "n")

@@ -62,7 +62,7 @@ def feature_info_json(spark, sf_dir):
     """A point's values with dates and links as one document."""
     f = footprints(spark, sf_dir)
     days = catalog.latest_days(f.select("id", F.col("hi").alias("ts")), 5).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
-    return sinks.feature_info(raster.point(pixels(spark, sf_dir), 4, 7, ["band"], KEYS), days, catalog.data_links(f, "/g/data/F/", 5))
+    return sinks.feature_info(raster.point(pixels(spark, sf_dir), 4, 7, ["band"], KEYS), days, catalog.data_links(f, "/v/data/F/", 5))
 
 
 @query("virtual_raster", f"""WITH m AS (SELECT band, py, px, {LATEST} AS v FROM pixels WHERE value IS NOT NULL GROUP BY band, py, px),
@@ -89,3 +89,10 @@ def metrics_windows(spark, sf_dir):
     records = series(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "ns", F.lit(1).cast("long").alias("duration"), F.col("event_id").alias("bytes"))
     out = windows(records, "30 minutes")
     return out.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), "ns", "requests", "bytes")
+
+
+@query("file_listing")
+def file_listing(spark, sf_dir):
+    """Files below a folder by a filter, without reading them."""
+    found = crawl.list_files(spark, sf_dir, "path =~ 'parquet$' && !(path =~ 'part-')")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("size") > 0).alias("filled"), F.length("id").alias("id_length"))
