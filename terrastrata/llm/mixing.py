@@ -103,7 +103,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None, budget: float = BUDGET)
     own = [c for c in without(docs, *ADDED).columns if keep is None or c in keep]
     draw = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED))
     values = _values(without(docs, *ADDED)).withColumn("__draw", F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53)))
-    values = written(values.select(*own, "topic", "n_tokens", "__draw", *(f"__{d}" for d in DIMENSIONS)))
+    values = values.select(*own, "topic", "n_tokens", "__draw", *(f"__{d}" for d in DIMENSIONS))
+    if keep is not None:  # whole documents are read twice rather than written in between
+        values = written(values)
     cells = hinted(rates(values, budget), MAX_BROADCAST).withColumnsRenamed({d: f"__r_{d}" for d in DIMENSIONS})
     on = reduce(lambda a, b: a & b, [F.col(f"__{d}") == F.col(f"__r_{d}") for d in DIMENSIONS])
     out = values.join(cells, on, "left").withColumn("sampled", F.col("__draw") < F.col("probability"))

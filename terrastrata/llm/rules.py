@@ -125,7 +125,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``.
 
-    ``keep`` names the input columns to carry along (default: all). ``kept`` is false where
+    ``keep`` names the input columns to carry along (default: all, which are then read twice rather
+    than written in between). ``kept`` is false where
     ``base_failed``; else true if no signal is beyond its fence. Nulls in ``lang`` or ``source`` form
     groups of their own; repeated rows are judged alike; an empty table gives no rows. Input columns
     with the names of added ones are replaced, others pass through.
@@ -133,8 +134,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     measured = measure(docs)
     if keep is not None:
         wanted = {*keep, "lang", "source", *BASE, "base_failed", "__upper", "__lines"}
-        measured = measured.select(*(c for c in measured.columns if c in wanted))
-    measured = written(measured)
+        measured = written(measured.select(*(c for c in measured.columns if c in wanted)))
     limits = hinted(thresholds(measured), MAX_BROADCAST).withColumnsRenamed({"lang": "__l", "source": "__s"})
     same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
     inside = F.lit(True)

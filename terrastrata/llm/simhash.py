@@ -186,16 +186,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, one row for each near-duplicate group: that with the smallest doc_id.
 
     Rows that repeat this doc_id (or share a null one) within the group count as copies: one stays.
+    Texts are shuffled once, on the keys of the chosen rows, which also tells copies of these apart.
     """
-    columns = docs.columns
-    stored = written(with_print(without(docs, "__fp"), "__fp"))
-    grouped = group(stored.select(F.col("doc_id").alias("id"), F.col("__fp").alias("fp")))
-    chosen = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("id", "fp")).alias("k")
-    ).select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__print"))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print"))
-    kept = stored.join(chosen, match, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*columns)
+    kid = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    keys = {"__kid": kid, "__h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    own = without(docs, *keys).withColumns(keys)
+    slim = own.select(F.col("doc_id").alias("id"), "text", *keys)
+    grouped = group(written(with_print(slim, "fp", carry_text=False)))
+    first = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(*keys)).alias("k"))
+    chosen = own.join(first.select("k.*"), [*keys], "left_semi")
+    return chosen.dropDuplicates([*keys]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
