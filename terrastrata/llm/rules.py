@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 Signals are counted per text with array functions. Their quantiles come from KLL sketches per
-language and source; the sketches merge into one per language and one over all, which stand in where
-a group is too small. A text passes if every signal lies inside its group's fence
-``q75 + reach * (q75 - q25) + slack``. The thresholds join back on language and source.
+language and source; the sketches merge into one per language and one over all. A sketch's threshold
+lies in the middle of the first gap in its tail, or just above its largest value where the tail has no
+gap. A small group's threshold is drawn toward its language's, and that toward the one over all, the
+more so the fewer texts it has. The thresholds join back on language and source.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from .common import cut, hinted, let, table, without, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: Signal -> slack over the fence: what is still ordinary where a group hardly varies.
+#: Signal -> the least gap that sets a tail apart, and the room above the largest value without one.
+GUARD = {"symbols_per_word": 0.1, "dup_line_share": 0.25, "repeat_share": 0.1, "upper_share": 0.02, "mean_word": 0.5}
+#: What a gap must exceed beyond that, as a share of the way from the median to it; ranks of the median and the tail.
+SPREAD, RANKS = 0.25, (0.5, *(round(0.75 + i / 400, 4) for i in range(101)))
+#: Signal -> slack over the fence ``q75 + reach * (q75 - q25)`` of tables too small to show a tail.
 SLACK = {"symbols_per_word": 0.25, "dup_line_share": 0.5, "repeat_share": 0.3, "upper_share": 0.4, "mean_word": 4.0}
 REACH, MIN_GROUP, SKETCH_K = 4.0, 200, 400
 #: Groups up to which the thresholds (some 100 bytes each) are broadcast.
@@ -87,14 +92,15 @@ def _signals() -> dict[str, Column]:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Upper fence of each signal by ``lang`` and ``source`` (null is a value of its own).
+    """Threshold of each signal by ``lang`` and ``source`` (null is a value of its own).
 
     Sketches are aggregates that merge: one pass gives those of the groups, which then merge by
-    language and over all. Groups of fewer than ``MIN_GROUP`` texts use their language's, small
-    languages those of all. Texts of fewer than ``MIN_WORDS`` words are left out.
+    language and over all. A group of fewer than ``MIN_GROUP`` texts takes the rest of its weight from
+    the next larger sketch. Texts that failed the base rules are left out; of fewer than ``MIN_GROUP``
+    texts over all, the fence over all holds.
     """
     names = list(SLACK)
-    signals = measured.where(F.col("n_words") >= MIN_WORDS).select(
+    signals = measured.where(~F.col("base_failed")).select(
         "lang", "source", *(c.cast("double").alias(n) for n, c in _signals().items())
     )
     groups = signals.groupBy("lang", "source").agg(
@@ -110,16 +116,29 @@ def thresholds(measured: DataFrame) -> DataFrame:
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
         return high + REACH * (high - low) + F.lit(slack)
 
+    def edge(sketch: Column, guard: float) -> Column:
+        def first_gap(q: Column) -> Column:
+            steps = F.transform(F.slice(q, 2, len(RANKS) - 2), lambda v, i: F.struct(v.alias("low"), F.get(q, i + 2).alias("high")))
+            gaps = F.filter(steps, lambda e: e["high"] - e["low"] > guard + SPREAD * (e["low"] - F.get(q, F.lit(0))))
+            first = F.get(gaps, F.lit(0))
+            return F.coalesce((first["low"] + first["high"]) / 2, F.get(q, F.lit(len(RANKS) - 1)) + guard)
+
+        return let(F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, RANKS))), first_gap)
+
+    def drawn(n: Column, own: Column, wider: Column) -> Column:
+        share = F.least(F.lit(1.0), n / MIN_GROUP)
+        return share * own + (1 - share) * wider
+
     by_lang = merged("lang").withColumnRenamed("lang", "__lang")
     joined = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
     joined = joined.join(F.broadcast(merged()))  # one row: the sketches over all
-    best = {
-        n: F.when(F.col("n") >= MIN_GROUP, F.col(n))
-        .when(F.col("up.n") >= MIN_GROUP, F.col(f"up.{n}"))
-        .otherwise(F.col(f"all.{n}"))
-        for n in names
-    }
-    return cut(joined.select("lang", "source", *(fence(best[n], SLACK[n]).alias(f"__max_{n}") for n in names)))
+
+    def threshold(name: str) -> Column:
+        group, lang, whole = (edge(F.col(f"{at}{name}"), GUARD[name]) for at in ("", "up.", "all."))
+        shown = drawn(F.col("n"), group, drawn(F.col("up.n"), lang, whole))
+        return F.when(F.col("all.n") >= MIN_GROUP, shown).otherwise(fence(F.col(f"all.{name}"), SLACK[name]))
+
+    return cut(joined.select("lang", "source", *(threshold(n).alias(f"__max_{n}") for n in names)))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -127,7 +146,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     ``keep`` names the input columns to carry along (default: all, which are then read twice rather
     than written in between). ``kept`` is false where
-    ``base_failed``; else true if no signal is beyond its fence. Nulls in ``lang`` or ``source`` form
+    ``base_failed``; else true if no signal is beyond its threshold. Nulls in ``lang`` or ``source`` form
     groups of their own; repeated rows are judged alike; an empty table gives no rows. Input columns
     with the names of added ones are replaced, others pass through.
     """

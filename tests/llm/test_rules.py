@@ -41,3 +41,27 @@ def test_adaptive_thresholds_drop_outliers(spark):
     odd = [(1000 + i, words(60, i).replace(" ", "### "), "en", "s1", 1, 1, "", "") for i in range(5)]
     out = {r["doc_id"]: r["kept"] for r in rules.judge(table(spark, plain + odd)).collect()}
     assert all(out[i] for i in range(300)) and not any(out[1000 + i] for i in range(5))
+
+
+def test_groups_judge_the_same_text_by_their_own_sketches(spark):
+    from .helpers import words
+
+    def marked(n, start, tenths):  # a symbol at so many of ten words
+        return " ".join(w + "#" * (i % 10 < tenths) for i, w in enumerate(words(n, start).split()))
+
+    plain = [(i, words(60 + i % 30, i * 13), "en", "plain", 1, 1, "", "") for i in range(600)]
+    coded = [(1000 + i, marked(60 + i % 3 * 10, i * 13, i % 6), "en", "coded", 1, 1, "", "") for i in range(600)]
+    same = marked(80, 7, 2)
+    probes = [(5000, same, "en", "plain", 1, 1, "", ""), (5001, same, "en", "coded", 1, 1, "", "")]
+    longer = [(6000 + i, words(60, i).replace(" ", "abcdefgh "), "en", "plain", 1, 1, "", "") for i in range(6)]
+    out = {r["doc_id"]: r["kept"] for r in rules.judge(table(spark, plain + coded + probes + longer)).collect()}
+    assert not out[5000] and out[5001]
+    assert all(out[d[0]] for d in plain + coded) and not any(out[d[0]] for d in longer)
+
+
+def test_labels_at_a_hundredth(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    out = [r for r in rules.judge(docs).collect() if not r["base_failed"]]
+    assert all(r["kept"] == bool(r["quality"]) for r in out)
