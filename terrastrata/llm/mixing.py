@@ -1,16 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrames only.
 
 Token counts are summed by source, language and topic. Raking scales the cells to each dimension's
-target shares in turn until all three hold. A document is then drawn with its cell's calibrated
-probability: target tokens over tokens at hand. Cells number at most sources x languages x topics and
+target shares in turn until all three hold, with no cell beyond its own tokens: what one lacks goes to
+the others. A document is then drawn with its cell's calibrated probability: its tokens to draw over
+those at hand. Cells number at most sources x languages x topics and
 stay a DataFrame throughout.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, hinted, table, without, written
@@ -82,20 +85,74 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return cells.drop(*(f"t_{d}" for d in targets))
 
 
+def _filled(df: DataFrame, by: list[str], goal: Column, have: str, weight: str, key: list[str]) -> DataFrame:
+    """``df`` with ``__factor`` f per ``by``, for which the sum of ``least(have, f * weight)`` is ``goal``.
+
+    That sum is the least, over what is full first by ``have / weight``, of the full ones' own and f times
+    the others' weights; so f is the largest of the quotients. Weights are above 0.
+    """
+    ratio = F.col(have) / F.col(weight)
+    up, down = (W.partitionBy(*by).orderBy(*order) for order in ([ratio, *key], [ratio.desc(), *(F.col(k).desc() for k in key)]))
+    full = F.coalesce(F.sum(have).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(weight).over(down.rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumn("__factor", (goal - full) / rest)
+    return df.withColumn("__factor", F.greatest(F.lit(0.0), F.max("__factor").over(W.partitionBy(*by))))
+
+
+def reachable(cells: DataFrame, dimension: str, power: float, budget: float = BUDGET) -> DataFrame:
+    """Tokens to draw (``value``, ``target``, ``wanted``) of one dimension.
+
+    ``wanted`` is the tempered share of the budget. A value gets all it has where that is less, and the
+    others share what it lacks in proportion: ``target``. Where the two differ, the wish can't be met.
+    """
+    have = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
+    whole = have.agg(F.least(F.lit(1.0), F.lit(budget)) * F.sum("have"))
+    each = have.join(tempered(cells, dimension, power), "value").where("have > 0")
+    each = each.join(F.broadcast(whole.toDF("__goal"))).withColumn("wanted", F.col("target") * F.col("__goal"))  # one row
+    each = _filled(each.withColumn("__one", F.lit(1)), ["__one"], F.col("__goal"), "have", "wanted", ["value"])
+    return each.select("value", F.least(F.col("have"), F.col("__factor") * F.col("wanted")).alias("target"), "wanted")
+
+
+def bounded(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` with ``drawn``: raked to ``targets`` (in tokens) with no cell beyond its own tokens.
+
+    A cell that is full keeps its weight, so that it can fall below again. Warns if a target is missed by more
+    than ``tolerance`` after ``sweeps``; one row per sweep comes to the driver.
+    """
+    key = list(targets)
+    for d, t in targets.items():
+        cells = cells.join(t.select(F.col("value").alias(d), F.col("target").alias(f"t_{d}")), d)
+    cells = cut(cells.where("tokens > 0").withColumns({"tokens": F.col("tokens").cast("double"), "weight": F.col("tokens").cast("double")}))
+    worst = None
+    for _ in range(sweeps):
+        for d in targets:
+            now = F.sum(F.least("tokens", "weight")).over(W.partitionBy(d))
+            cells = cells.withColumn(f"__off_{d}", F.abs(now / F.col(f"t_{d}") - 1))
+            cells = _filled(cells, [d], F.col(f"t_{d}"), "tokens", "weight", key)
+            cells = cells.withColumn("weight", F.col("weight") * F.col("__factor")).drop("__factor")
+        cells = cut(cells)
+        worst = max((m for m in cells.agg(*(F.max(f"__off_{d}") for d in targets)).first() if m is not None), default=0.0)
+        cells = cells.drop(*(f"__off_{d}" for d in targets))
+        if worst <= tolerance:
+            break
+    else:
+        warnings.warn(f"mixing: a target is still missed by {worst:.4f} of it after {sweeps} sweeps", stacklevel=2)
+    return cells.withColumn("drawn", F.least("tokens", "weight"))
+
+
 def rates(values: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Cells (``source``, ``lang``, ``topic``) with the ``probability`` of their documents."""
     cells = cut(values.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS})
-    whole = F.broadcast(raked.agg(F.sum("tokens").alias("__all"), F.sum("weight").alias("__weights")))  # one row
-    rate = budget * F.col("__all") * F.col("weight") / F.nullif(F.col("__weights"), F.lit(0.0)) / F.nullif(F.col("tokens"), F.lit(0))
-    return cut(raked.join(whole).select(*DIMENSIONS, F.least(F.lit(1.0), F.coalesce(rate, F.lit(0.0))).alias("probability")))
+    raked = bounded(cells, {d: cut(reachable(cells, d, TEMPER[d], budget)) for d in DIMENSIONS})
+    drawn = raked.select(*DIMENSIONS, (F.col("drawn") / F.col("tokens")).alias("probability"))
+    return cut(cells.join(drawn, list(DIMENSIONS), "left").select(*DIMENSIONS, F.coalesce("probability", F.lit(0.0)).alias("probability")))
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, budget: float = BUDGET) -> DataFrame:
     """``docs`` (or their columns ``keep``) with ``topic``, ``n_tokens``, ``probability`` and ``sampled``.
 
-    Tokens are counted over all documents. A probability is capped at one: no document is drawn twice,
-    so a cell that lacks tokens stays below its target. The draw depends on doc_id and text only, so
+    Tokens are counted over all documents. No document is drawn twice: what a cell lacks is drawn from
+    others, and what a source, language or topic lacks as a whole from the others (see ``reachable``). The draw depends on doc_id and text only, so
     repeated rows share it. Null and empty sources or languages are one value; texts without tokens
     have probability 0. Input columns with the names of added ones are replaced, others pass through;
     an empty table gives no rows.
