@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -79,6 +80,15 @@ def parse(html: str) -> list[Node]:
     """The elements of a page in page order, the root first; any text is a tree of some kind."""
     root = Node("html", "", None, 0)
     nodes, here, at, links = [root], root, 0, 0
+    opened: Counter[str] = Counter()  # so that no end tag searches a deep page in vain
+
+    def shut(last: Node) -> Node:
+        x = here
+        while x is not last.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return last.parent
+
     for m in _MARKUP.finditer(html):
         start = m.start()
         if start < at:
@@ -103,11 +113,11 @@ def parse(html: str) -> list[Node]:
             continue
         links = 0
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = shut(up)
             continue
         if tag == "html" or tag == "body":
             continue
@@ -118,7 +128,7 @@ def parse(html: str) -> list[Node]:
         up = here
         while up.tag in CLOSES:  # an open paragraph or cell ends where a block begins
             if tag in CLOSES[up.tag]:
-                here = up.parent
+                here = shut(up)
                 break
             up = up.parent
         if tag in CONTROLS:
@@ -127,9 +137,6 @@ def parse(html: str) -> list[Node]:
             if tag == "hr":
                 here.parts.append(None)
             continue
-        if here.depth > 200:  # deeper markup is read as part of its ancestor there
-            here.parts.append(None)
-            continue
         attrs = m[3]
         names = " ".join(_CAMEL.sub("-", a or b or c) for a, b, c in _NAMED.findall(attrs)).lower().replace("_", "-") if attrs else ""
         child = Node(tag, names, here, len(nodes))
@@ -138,6 +145,7 @@ def parse(html: str) -> list[Node]:
         nodes.append(child)
         if not attrs.endswith("/"):
             here = child
+            opened[tag] += 1
     if at < len(html):
         here.say(html[at:], links > 0)
     return nodes

@@ -47,3 +47,16 @@ def test_edges(spark):
     got = {r["page_id"]: r["text"] for r in out}
     assert got[1] == got[2] == got[5] == "" and len(got[3]) == 27 * 20_000 - 1
     assert M.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_deep_pages_keep_their_layout():
+    trees = M.fit()
+    said = "<p>" + "Words of the story, one after another. " * 20 + "</p>"
+    page = "<article>" + said + "</article><nav><ul>" + '<li><a href="/x">Menu entry</a></li>' * 9 + "</ul></nav>"
+    want = " ".join(("Words of the story, one after another. " * 20).split())
+    for n in (300, 3000):
+        for tag in ("div", "section"):
+            nested = f"<{tag}>" * n + page + f"</{tag}>" * n
+            assert M.main_texts([nested, f"<{tag}>" * n + page], trees) == [want, want]
+            nodes = M.parse(nested + "<main>")
+            assert len(nodes) == n + 6 and nodes[-1].parent is nodes[0]
