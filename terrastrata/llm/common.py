@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, one of our own (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, local masters (tests) get one of our own; executors elsewhere couldn't see it, so
+    there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='terrastrata-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -65,6 +71,24 @@ def hinted(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def guarded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with its columns of these names (any case), or that begin with ``__``, renamed; and what undoes it.
+
+    So an operator can add columns of its own and leave the user's as they were: the second value selects
+    the columns of ``df`` under their names, in their order, and what is added to them.
+    """
+    taken, columns = {n.lower() for n in names}, df.columns
+    known = {c.lower() for c in columns}
+    aside: dict[str, str] = {}
+    for i, c in enumerate(columns):
+        if c.lower() in taken or c.startswith("__"):
+            new = f"own_{i}"
+            while new in known:
+                new += "_"
+            aside[c] = new
+    return df.withColumnsRenamed(aside), lambda out, *added: out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in columns), *added)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns (any case) that an operator is about to write itself."""
     taken = {n.lower() for n in names}
