@@ -41,13 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _written_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read that: for large tables read twice."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    """Write ``df`` once as Parquet to the shared folder and read that: for large tables read twice.
+
+    The tables stay, as results are lazy, until ``clear_written``.
+    """
+    spark, path = df.sparkSession, f"{_written_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> bool:
+    """Delete all that ``written`` has written in this application: for when its results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; ``lower`` does the same for plain ASCII and is much faster there."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))

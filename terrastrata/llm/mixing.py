@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hinted, table, without, written
+from .common import cut, guarded, hinted, table, without, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its own share to this power, normalised (1: as found, 0: all equal).
@@ -27,31 +27,42 @@ SEED = 20
 #: Cells up to which the rates (some 60 bytes each) are broadcast.
 MAX_BROADCAST = 50_000
 ADDED = ("topic", "n_tokens", "probability", "sampled")
+_WHITE = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 
 
-def n_tokens(text: Column) -> Column:
-    """Runs of characters other than white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def _count_of(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``, which are few in most texts."""
+    return F.size(F.split(text, "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]", -1)) - 1
+
+
+def n_tokens(pieces: Column) -> Column:
+    """Runs of characters other than white space, from a text split at white space."""
+    blank = lambda at: (F.get(pieces, at) == "").cast("int")
+    return F.greatest(F.size(pieces) - blank(F.lit(0)) - blank(F.size(pieces) - 1), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
-    """A document's kind by its form: what of it is symbols, table cells or capitals, else its length."""
+    """A document's kind by its form: what of it is symbols, table cells or capitals, else its length.
+
+    For tables without topics; those that have a column or a classifier's output give it to ``mix``.
+    """
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
-    symbols = size - F.length(F.translate(text, "#*$%&<>{}=;", ""))
-    cells = size - F.length(F.translate(text, "|", ""))
-    capitals = size - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    symbols, cells = _count_of(text, "#*$%&<>{}=;"), _count_of(text, "|")
+    capitals = size - F.length(F.regexp_replace(text, "[A-Z]+", ""))
     return (
         F.when(tokens == 0, "empty").when(4 * symbols > tokens, "symbols").when(4 * cells > tokens, "table")
         .when(3 * capitals > size, "capitals").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("book")
     )
 
 
-def _values(docs: DataFrame) -> DataFrame:
-    docs = docs.withColumn("n_tokens", n_tokens(F.col("text")))
-    return docs.withColumn("topic", topic_of(F.col("text"), F.col("n_tokens"))).withColumns(
-        {f"__{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS}
-    )
+def _values(docs: DataFrame, topic: Column | None) -> DataFrame:
+    """Add ``n_tokens``, ``topic`` and the dimensions as names without nulls (``__source`` and so on)."""
+    given = {} if topic is None else {"__given": topic}
+    docs = docs.withColumns({**given, "__pieces": F.split(F.coalesce(F.col("text"), F.lit("")), _WHITE, -1)})
+    docs = docs.withColumn("n_tokens", n_tokens(F.col("__pieces"))).drop("__pieces")
+    own = topic_of(F.col("text"), F.col("n_tokens")) if topic is None else F.col("__given").cast("string")
+    return docs.withColumn("topic", own).withColumns({f"__{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -61,6 +72,16 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return each.join(F.broadcast(whole)).select("value", (F.col("m") / F.col("__all")).alias("target"))  # one row
 
 
+def weighted(cells: DataFrame, dimension: str, weights: dict[str, float]) -> DataFrame:
+    """Target shares (``value``, ``target``) of one dimension by given weights; values that aren't named get none."""
+    if not weights or any(w < 0 for w in weights.values()) or not sum(weights.values()):
+        raise ValueError(f"the weights of {dimension} must be 0 or more, and one of them above 0")
+    given = F.array(*(F.struct(F.lit(str(v)).alias("value"), F.lit(float(w)).alias("m")) for v, w in weights.items()))
+    found = cells.sparkSession.range(1).select(F.inline(given)).join(cells.select(F.col(dimension).alias("value")).distinct(), "value")
+    whole = found.agg(F.sum("m").alias("__all"))
+    return found.join(F.broadcast(whole)).select("value", (F.col("m") / F.col("__all")).alias("target")).where("target > 0")  # one row
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``weight``: the share of all tokens that raking gives each cell.
 
@@ -99,15 +120,17 @@ def _filled(df: DataFrame, by: list[str], goal: Column, have: str, weight: str,
     return df.withColumn("__factor", F.greatest(F.lit(0.0), F.max("__factor").over(W.partitionBy(*by))))
 
 
-def reachable(cells: DataFrame, dimension: str, power: float, budget: float = BUDGET) -> DataFrame:
+def reachable(cells: DataFrame, dimension: str, goal: float | dict[str, float], budget: float = BUDGET) -> DataFrame:
     """Tokens to draw (``value``, ``target``, ``wanted``) of one dimension.
 
-    ``wanted`` is the tempered share of the budget. A value gets all it has where that is less, and the
+    ``wanted`` is the share of the budget by ``goal``: weights by value, or the power of tempered shares. A
+    value gets all it has where that is less, and the
     others share what it lacks in proportion: ``target``. Where the two differ, the wish can't be met.
     """
     have = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
     whole = have.agg(F.least(F.lit(1.0), F.lit(budget)) * F.sum("have"))
-    each = have.join(tempered(cells, dimension, power), "value").where("have > 0")
+    shares = weighted(cells, dimension, goal) if isinstance(goal, dict) else tempered(cells, dimension, goal)
+    each = have.join(shares, "value").where("have > 0")
     each = each.join(F.broadcast(whole.toDF("__goal"))).withColumn("wanted", F.col("target") * F.col("__goal"))  # one row
     each = _filled(each.withColumn("__one", F.lit(1)), ["__one"], F.col("__goal"), "have", "wanted", ["value"])
     return each.select("value", F.least(F.col("have"), F.col("__factor") * F.col("wanted")).alias("target"), "wanted")
@@ -140,33 +163,52 @@ def bounded(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEP
     return cells.withColumn("drawn", F.least("tokens", "weight"))
 
 
-def rates(values: DataFrame, budget: float = BUDGET) -> DataFrame:
+def rates(values: DataFrame, budget: float = BUDGET, targets: dict[str, float | dict[str, float]] | None = None) -> DataFrame:
     """Cells (``source``, ``lang``, ``topic``) with the ``probability`` of their documents."""
+    goals = {**TEMPER, **(targets or {})}
     cells = cut(values.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens")))
-    raked = bounded(cells, {d: cut(reachable(cells, d, TEMPER[d], budget)) for d in DIMENSIONS})
+    raked = bounded(cells, {d: cut(reachable(cells, d, goals[d], budget)) for d in DIMENSIONS})
     drawn = raked.select(*DIMENSIONS, (F.col("drawn") / F.col("tokens")).alias("probability"))
     return cut(cells.join(drawn, list(DIMENSIONS), "left").select(*DIMENSIONS, F.coalesce("probability", F.lit(0.0)).alias("probability")))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, budget: float = BUDGET) -> DataFrame:
+def mix(
+    docs: DataFrame, keep: list[str] | None = None, budget: float = BUDGET, targets: dict[str, float | dict[str, float]] | None = None, topic: Column | None = None
+) -> DataFrame:
     """``docs`` (or their columns ``keep``) with ``topic``, ``n_tokens``, ``probability`` and ``sampled``.
 
+    ``targets`` gives for ``source``, ``lang`` or ``topic`` the weights of its values (``{"web": 3, "books": 1}``;
+    values without one aren't drawn) or the power of tempered shares; ``TEMPER`` holds for the others. ``topic``
+    is a column of ``docs`` or made of them; without it documents are told apart by form (``topic_of``).
+
     Tokens are counted over all documents. No document is drawn twice: what a cell lacks is drawn from
     others, and what a source, language or topic lacks as a whole from the others (see ``reachable``). The draw depends on doc_id and text only, so
-    repeated rows share it. Null and empty sources or languages are one value; texts without tokens
-    have probability 0. Input columns with the names of added ones are replaced, others pass through;
-    an empty table gives no rows.
+    repeated rows share it. Null and empty sources, languages or topics are one value; texts without tokens
+    have probability 0; very long ones are read whole, in one task each. Input columns with the names of added
+    ones are replaced, others pass through; an empty table gives no rows.
     """
-    own = [c for c in without(docs, *ADDED).columns if keep is None or c in keep]
+    own, given = [c for c in without(docs, *ADDED).columns if keep is None or c in keep], "given_topic"
+    while given in docs.columns:
+        given += "_"
+    if topic is not None:
+        docs = docs.withColumn(given, topic)
+    needed = (*own, "doc_id", "text", "source", "lang", *([given] if topic is not None else []))
+    plain, back = guarded(without(docs, *ADDED).select(*dict.fromkeys(needed)))
     draw = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED))
-    values = _values(without(docs, *ADDED)).withColumn("__draw", F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53)))
-    values = values.select(*own, "topic", "n_tokens", "__draw", *(f"__{d}" for d in DIMENSIONS))
-    if keep is not None:  # whole documents are read twice rather than written in between
-        values = written(values)
-    cells = hinted(rates(values, budget), MAX_BROADCAST).withColumnsRenamed({d: f"__r_{d}" for d in DIMENSIONS})
+    values = _values(plain, None if topic is None else F.col(given))
+    values = values.withColumn("__draw", F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53)))
+    if "text" not in own:  # whole documents are read twice rather than written in between
+        values = written(values.drop("text")).withColumn("text", F.lit(None).cast("string"))
+    cells = hinted(rates(values, budget, targets), MAX_BROADCAST).withColumnsRenamed({d: f"__r_{d}" for d in DIMENSIONS})
     on = reduce(lambda a, b: a & b, [F.col(f"__{d}") == F.col(f"__r_{d}") for d in DIMENSIONS])
     out = values.join(cells, on, "left").withColumn("sampled", F.col("__draw") < F.col("probability"))
-    return out.select(*own, *ADDED)
+    return back(out, *ADDED).select(*own, *ADDED)
+
+
+def draw(docs: DataFrame, budget: float = BUDGET, targets: dict[str, float | dict[str, float]] | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` draws, with their columns as they were."""
+    own, back = guarded(docs, *ADDED)
+    return back(mix(own, budget=budget, targets=targets).where("sampled"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

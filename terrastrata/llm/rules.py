@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hinted, let, table, without, words_of, written
+from .common import cut, guarded, hinted, let, table, without, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -29,53 +29,64 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*BASE, "base_failed", "kept")
 
 
-def repeat_words(words: Column, width: int = WINDOW) -> Column:
-    """Words that lie in windows of ``width`` words found twice or more in the text.
+def _one_of(chars: str) -> str:
+    """A pattern for one of ``chars``, each written out, which Java looks up in one table."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]"
 
-    Windows are sorted by hash with their places; equal neighbours are repeats; the places, sorted,
-    are then covered from left to right. O(n log n), one text at a time.
-    """
-
-    def covered(w: Column) -> Column:
-        hashed = F.transform(
-            F.sequence(F.lit(0), F.size(w) - width),
-            lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("h"), i.alias("i")),
-        )
 
-        def places(s: Column) -> Column:
-            twice = F.filter(
-                s,
-                lambda e, k: F.coalesce(e["h"] == F.get(s, k - 1)["h"], F.lit(False))
-                | F.coalesce(e["h"] == F.get(s, k + 1)["h"], F.lit(False)),
-            )
-            return F.sort_array(F.transform(twice, lambda e: e["i"]))
+def with_repeats(df: DataFrame, name: str, words: str, width: int = WINDOW) -> DataFrame:
+    """``df`` with ``name``: the words that lie in windows of ``width`` words found twice or more in the text.
 
-        def count(p: Column) -> Column:
-            steps = F.transform(p, lambda at, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - at, F.lit(width))))
-            return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+    Windows are hashed; where all hashes differ nothing repeats. Else they are sorted with their places, equal
+    neighbours are repeats, and their places, sorted, are covered from left to right: O(n log n), one text at a
+    time. The steps are columns of their own, so that each runs as compiled code over the one before.
+    """
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(width)))
+    )
+    df = df.withColumn("__hashes", F.when(F.size(words) >= width, windows))
+    placed = F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    twice = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
+    df = df.withColumn("__twice", twice).withColumn("__sorted", F.when(F.col("__twice"), F.sort_array(placed)))
 
-        return let(let(F.sort_array(hashed), places), count)
+    def equal(e: Column, k: Column) -> Column:
+        return F.coalesce(e["h"] == F.get("__sorted", k)["h"], F.lit(False))
 
-    return let(words, lambda w: F.when(F.size(w) >= width, covered(w)).otherwise(F.lit(0)))
+    repeats = F.filter("__sorted", lambda e, k: equal(e, k - 1) | equal(e, k + 1))
+    df = df.withColumn("__places", F.sort_array(F.transform(repeats, lambda e: e["i"])))
+    steps = F.transform("__places", lambda at, k: F.least(F.lit(width), F.coalesce(F.get("__places", k + 1) - at, F.lit(width))))
+    covered = F.coalesce(F.aggregate(steps, F.lit(0), lambda x, y: x + y), F.lit(0))
+    return df.withColumn(name, covered.cast("long")).drop("__hashes", "__twice", "__sorted", "__places")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Add the counts of ``BASE`` (long) and ``base_failed``; a null text counts like an empty one."""
+    """Add the counts of ``BASE`` (long), ``base_failed`` and what the signals need (``__upper``, ``__lines``).
+
+    A null text counts like an empty one; a very long one is read whole, in one task. Write the result before
+    filtering on it: Spark pushes filters down by repeating the expressions below them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    counted = without(docs, *ADDED, "__words").withColumn("__words", words_of(F.col("text")))
+    blank = " \t\n\x0b\f\r"
+
+    def lines(x: Column) -> Column:
+        return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
+
+    said = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counted = without(docs, *ADDED).withColumn("__pieces", F.split(text, _one_of(blank) + "+", -1))
+    first = (F.get("__pieces", F.lit(0)) == "").cast("int")  # white space before the first word, or no word
+    size = F.size("__pieces") - first - (F.get("__pieces", F.size("__pieces") - 1) == "").cast("int")
+    counted = counted.withColumn("__words", F.slice("__pieces", 1 + first, F.greatest(size, F.lit(0)))).drop("__pieces")
     counted = counted.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("__words")).cast("long"),
-            "__upper": upper.cast("long"),
-            "__lines": F.size(lines).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "n_symbols": (F.size(F.split(text, _one_of(SYMBOLS), -1)) - 1).cast("long"),
+            "__upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
+            "__said": let(said, lines),
         }
-    ).drop("__words")
+    )
+    counted = with_repeats(counted, "n_repeat_words", "__words").drop("__words")
+    counted = counted.withColumns({"n_dup_lines": F.col("__said.dup").cast("long"), "__lines": F.col("__said.n").cast("long")}).drop("__said")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -141,26 +152,39 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return cut(joined.select("lang", "source", *(threshold(n).alias(f"__max_{n}") for n in names)))
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``.
-
-    ``keep`` names the input columns to carry along (default: all, which are then read twice rather
-    than written in between). ``kept`` is false where
-    ``base_failed``; else true if no signal is beyond its threshold. Nulls in ``lang`` or ``source`` form
-    groups of their own; repeated rows are judged alike; an empty table gives no rows. Input columns
-    with the names of added ones are replaced, others pass through.
-    """
-    measured = measure(docs)
-    if keep is not None:
-        wanted = {*keep, "lang", "source", *BASE, "base_failed", "__upper", "__lines"}
-        measured = written(measured.select(*(c for c in measured.columns if c in wanted)))
+def _judged(measured: DataFrame) -> DataFrame:
     limits = hinted(thresholds(measured), MAX_BROADCAST).withColumnsRenamed({"lang": "__l", "source": "__s"})
     same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
     inside = F.lit(True)
     for n, c in _signals().items():
         inside = inside & F.coalesce(c <= F.col(f"__max_{n}"), F.lit(True))
-    out = measured.join(limits, same, "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return out.drop(*(c for c in out.columns if c.startswith("__")))
+    return measured.join(limits, same, "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or their columns ``keep``) with the counts, ``base_failed`` and ``kept``.
+
+    Rows are measured once and written with what is carried along. ``kept`` is false where
+    ``base_failed``; else true if no signal is beyond its threshold. Nulls in ``lang`` or ``source`` form
+    groups of their own; null and empty texts fail the base rules; very long texts are read whole, in one
+    task each; repeated rows are judged alike; an empty table gives no rows. Input columns with
+    the names of added ones are replaced, others pass through.
+    """
+    docs = without(docs, *ADDED)
+    own = [c for c in docs.columns if keep is None or c in keep]
+    docs, back = guarded(docs.select(*dict.fromkeys((*own, "text", "lang", "source"))))
+    measured = measure(docs)
+    if "text" not in own:
+        measured = measured.withColumn("text", F.lit(None).cast("string"))
+    return back(_judged(written(measured)), *ADDED).select(*own, *ADDED)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they were; texts that fail the base rules aren't written."""
+    own, back = guarded(docs, *ADDED)
+    measured = measure(own)
+    slim = measured.withColumn("text", F.when(~F.col("base_failed"), F.col("text")))
+    return back(_judged(written(slim)).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,22 +55,31 @@ def drawn(docs):
     tokens = np.array([len(d["text"].split()) for d in docs], float)
     cells = sorted(set(cell))
     mass = np.array([sum(t for c, t in zip(cell, tokens) if c == x) for x in cells])
-    weight, goals = mass.copy(), []
+    def filled(have, weight, goal):
+        """The factor f for which the sum of min(have, f * weight) is goal, by halving."""
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(have, mid * weight).sum() < goal else (low, mid)
+        return high
+
+    goals = []
     for k, d in enumerate(mixing.DIMENSIONS):
-        values = sorted({c[k] for c in cells})
-        share = np.array([mass[[c[k] == v for c in cells]].sum() for v in values]) ** mixing.TEMPER[d]
-        goals.append(dict(zip(values, share / share.sum())))
+        values = [v for v in sorted({c[k] for c in cells}) if mass[[c[k] == v for c in cells]].sum()]
+        have = np.array([mass[[c[k] == v for c in cells]].sum() for v in values])
+        want = mixing.BUDGET * mass.sum() * have ** mixing.TEMPER[d] / (have ** mixing.TEMPER[d]).sum()
+        goals.append(dict(zip(values, np.minimum(have, filled(have, want, mixing.BUDGET * mass.sum()) * want))))
+    weight = mass.copy()
     for _ in range(mixing.SWEEPS):
         worst = 0
         for k, goal in enumerate(goals):
             for v, t in goal.items():
-                own = np.array([c[k] == v for c in cells])
-                if weight[own].sum():
-                    worst = max(worst, abs(weight[own].sum() / t - 1))
-                    weight[own] *= t / weight[own].sum()
+                own = np.array([c[k] == v for c in cells]) & (mass > 0)
+                worst = max(worst, abs(np.minimum(mass, weight)[own].sum() / t - 1))
+                weight[own] *= filled(mass[own], weight[own], t)
         if worst <= mixing.TOLERANCE:
             break
-    rate = dict(zip(cells, np.minimum(1, mixing.BUDGET * mass.sum() * weight / weight.sum() / mass)))
+    rate = {c: min(m, w) / m if m else 0.0 for c, m, w in zip(cells, mass, weight)}
 
     def draw(d):
         h = xxhash.xxh64((d["doc_id"]).to_bytes(8, "little"), seed=42).intdigest()
