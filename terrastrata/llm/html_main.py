@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +28,10 @@ FIT_PAGES, TREES, DEPTH, BINS, STEP = 600, 40, 4, 24, 0.3
 #: Log-odds that a change from outside to inside, or from inside to removed, must be worth.
 ENTER, LEAVE = 2.0, 1.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select option button canvas video audio title".split())
+#: Their content is no markup and no text of the page; only these two swallow the rest of a page that doesn't close them.
+RAW, SWALLOW = frozenset("script style iframe textarea title".split()), frozenset("script style".split())
+#: Elements whose text is never content: parts of forms, and what isn't shown.
+DROPPED = frozenset("button select option optgroup datalist template".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Items that only border lines of their list or row; controls; elements of running text.
 LINES, CONTROLS = frozenset("li tr dt dd tbody thead tfoot".split()), frozenset("form input fieldset".split())
@@ -36,8 +39,10 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: An open element of these ends where one of its tags begins.
 CLOSES = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
-    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
+    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]),
 }
+for _tag in ("button", "select", "option", "optgroup"):  # unclosed, they must not take in what follows
+    CLOSES[_tag] = CLOSES.get(_tag, frozenset()) | CLOSES["p"]
 #: Tokens in tags, classes, ids and roles that speak for and against main content.
 GOOD = re.compile(r"article|\bmain\b|content|\bpost\b|entry|story|\bbody\b|text|prose")
 BAD = re.compile(
@@ -45,6 +50,8 @@ BAD = re.compile(
     r"search|login|subscribe|newsletter|share|social|related|recommend|breadcrumb|pagination|pager|widget|comment|reply|"
     r"disqus|tags|copyright|toolbar|skip|alert|gdpr|signup|complementary|contentinfo"
 )
+#: Of inline elements and list items, which are nodes only if named like this.
+PAID = re.compile(r"\bads?\b|advert|promo|sponsor|banner|cookie|consent|newsletter|subscribe|share|social|related|recommend")
 COMMENT = re.compile(r"comment|reply|replies|disqus|discuss|respond")
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -54,16 +61,17 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element; ``parts`` are its texts, children and borders of lines (None) in page order.
 
-    Inline elements and items of lists and rows are no nodes of their own: their text is their
-    parent's, which counts the characters within links.
+    Inline elements and items of lists and rows are no nodes of their own, unless named like an advert: their
+    text is their parent's, which counts the characters within links. ``nested`` counts open plain elements
+    of a node's own tag within it.
     """
 
-    __slots__ = ("tag", "attrs", "parent", "depth", "parts", "nth", "place", "chars", "linked", "stops", "items", "controls", "children")
+    __slots__ = ("tag", "attrs", "parent", "depth", "parts", "nth", "place", "chars", "linked", "stops", "items", "controls", "children", "nested")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, place: int) -> None:
         self.tag, self.attrs, self.parent, self.place, self.parts = tag, attrs, parent, place, []
         self.depth, self.nth = (parent.depth + 1, parent.children) if parent else (0, 0)
-        self.chars = self.linked = self.stops = self.items = self.controls = self.children = 0
+        self.chars = self.linked = self.stops = self.items = self.controls = self.children = self.nested = 0
 
     def say(self, text: str, linked: bool) -> None:
         if "&" in text:
@@ -76,19 +84,45 @@ class Node:
         self.stops += text.count(".") + text.count(",")
 
 
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def names_of(attrs: str) -> str:
+    """The class, id and role of an element, in lower case with hyphens."""
+    return " ".join(_CAMEL.sub("-", a or b or c) for a, b, c in _NAMED.findall(attrs)).lower().replace("_", "-") if attrs else ""
+
+
 def parse(html: str) -> list[Node]:
     """The elements of a page in page order, the root first; any text is a tree of some kind."""
     root = Node("html", "", None, 0)
     nodes, here, at, links = [root], root, 0, 0
-    opened: Counter[str] = Counter()  # so that no end tag searches a deep page in vain
+    opened: dict[str, list[Node]] = defaultdict(list)  # by tag, so that no end tag searches a deep page in vain
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def shut(last: Node) -> Node:
         x = here
         while x is not last.parent:
-            opened[x.tag] -= 1
+            opened[x.tag].pop()
             x = x.parent
         return last.parent
 
+    def begin(tag: str, names: str) -> Node:
+        child = Node(tag, names, here, len(nodes))
+        here.children += 1
+        here.parts.append(child)
+        nodes.append(child)
+        return child
+
+    def line_of(tag: str) -> Node | None:
+        """The open item of this tag in the list or table at hand."""
+        last = opened[tag][-1] if opened[tag] else None
+        x = here
+        while last is not None and x is not last:
+            if x.tag in ("ul", "ol", "dl", "table"):
+                return None
+            x = x.parent
+        return last
+
     for m in _MARKUP.finditer(html):
         start = m.start()
         if start < at:
@@ -103,33 +137,47 @@ def parse(html: str) -> list[Node]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[1] else 1
+            own = opened[tag]
+            if m[1]:
+                if own and own[-1].nested:
+                    own[-1].nested -= 1
+                elif own:
+                    here = shut(own[-1])
+            elif m[3] and not m[3].endswith("/") and PAID.search(names := names_of(m[3])):
+                here = begin(tag, names)
+                own.append(here)
+            elif own:
+                own[-1].nested += 1
             continue
         if tag == "br":
             here.parts.append(" ")
             continue
         if tag in LINES:
+            if line := line_of(tag):
+                here = shut(line)
             here.parts.append(None)
             here.items += not m[1]
+            if not m[1] and m[3] and PAID.search(names := names_of(m[3])):
+                here = begin(tag, names)
+                opened[tag].append(here)
             continue
         links = 0
         if m[1]:
             if opened[tag]:
-                up = here
-                while up.tag != tag:
-                    up = up.parent
-                here = shut(up)
+                here = shut(opened[tag][-1])
             continue
         if tag == "html" or tag == "body":
             continue
         if tag in RAW:
-            end = re.search(rf"</{tag}\s*>", html[at:], re.I)
-            at = at + end.end() if end else (len(html) if tag in ("script", "style") else at)
+            end = None if tag in endless else _ENDS[tag].search(html, at)
+            if end is None:
+                endless.add(tag)
+            at = end.end() if end else (len(html) if tag in SWALLOW else at)
             continue  # nothing in it is text
         up = here
-        while up.tag in CLOSES:  # an open paragraph or cell ends where a block begins
-            if tag in CLOSES[up.tag]:
+        while up.tag in CLOSES or up.tag in INLINE:  # an open paragraph, cell or control ends where a block begins
+            if up.tag in CLOSES and tag in CLOSES[up.tag]:
                 here = shut(up)
-                break
             up = up.parent
         if tag in CONTROLS:
             here.controls += 1
@@ -138,14 +186,10 @@ def parse(html: str) -> list[Node]:
                 here.parts.append(None)
             continue
         attrs = m[3]
-        names = " ".join(_CAMEL.sub("-", a or b or c) for a, b, c in _NAMED.findall(attrs)).lower().replace("_", "-") if attrs else ""
-        child = Node(tag, names, here, len(nodes))
-        here.children += 1
-        here.parts.append(child)
-        nodes.append(child)
+        child = begin(tag, names_of(attrs))
         if not attrs.endswith("/"):
             here = child
-            opened[tag] += 1
+            opened[tag].append(child)
     if at < len(html):
         here.say(html[at:], links > 0)
     return nodes
@@ -251,11 +295,14 @@ def decode(nodes: list[Node], odds: list[float]) -> list[bool]:
     inside = [min(max(float(o), -8.0), 8.0) for o in odds]  # against the element not being content
     outside, up = [0.0] * n, [x.parent.place if x.parent is not None else 0 for x in nodes]
     for i in range(n - 1, 0, -1):
-        outside[up[i]] += max(outside[i], inside[i] - ENTER)
-        inside[up[i]] += max(inside[i], -LEAVE)
-    out, removed = [False] * n, [False] * n
+        if nodes[i].tag not in DROPPED:
+            outside[up[i]] += max(outside[i], inside[i] - ENTER)
+            inside[up[i]] += max(inside[i], -LEAVE)
+    out, removed = [False] * n, [x.tag in DROPPED for x in nodes]
     out[0] = inside[0] - ENTER > outside[0]
     for i in range(1, n):
+        if removed[i]:
+            continue
         if out[up[i]]:
             out[i] = inside[i] >= -LEAVE
             removed[i] = not out[i]
@@ -278,9 +325,10 @@ def text_of(nodes: list[Node], inside: list[bool]) -> str:
             blocks[-1].append(x)
         else:
             parts = x.parts if inside[x.place] else [p for p in x.parts if isinstance(p, Node)]
-            todo.append(None)
+            border = [] if x.tag in INLINE else [None]
+            todo.extend(border)
             todo.extend(reversed(parts))
-            todo.append(None)
+            todo.extend(border)
     return " ".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
@@ -326,6 +374,9 @@ def training_page(rng: random.Random) -> str:
             + "".join(f"<article class=\"comment\"><p>{w(4, 80)}</p></article>" for _ in range(rng.randint(1, 4))) + f"</{t}>",
         )[kind]()
 
+    def paid(tag: str) -> str:
+        return f'<{tag} class="{rng.choice(("ad", "ads", "advert", "sponsored", "promo", "ad-banner", "newsletter", "share", "social", "related"))}">{w(1, 8)}</{tag}>'
+
     def block() -> str:
         z = ' class="zz"'
         r = rng.random()
@@ -333,6 +384,8 @@ def training_page(rng: random.Random) -> str:
             inner = w(1, 4) if rng.random() < 0.2 else w(8, 110)
             if rng.random() < 0.25:
                 inner += f' <a{z} href="/y">{w(1, 4)}</a> {w(2, 12)}'
+            if rng.random() < 0.06:
+                inner += paid(rng.choice(("span", "em", "a")))
             if rng.random() < 0.15:
                 inner = f"<b{z}>{inner}<br>" if rng.random() < 0.5 else f"<b{z}>{w(1, 6)}</b> {inner}"
             return f"<p{z}>{inner}" + ("</p>" if rng.random() < 0.85 else "")
@@ -340,7 +393,10 @@ def training_page(rng: random.Random) -> str:
             return f"<h2{z}>{w(1, 9)}</h2>"
         if r < 0.9:
             t = rng.choice(("ul", "ol"))
-            return f"<{t}{z}>" + "".join(f"<li{z}>{w(2, 25)}</li>" for _ in range(rng.randint(1, 7))) + f"</{t}>"
+            lines = [f"<li{z}>{w(2, 25)}</li>" for _ in range(rng.randint(1, 7))]
+            if rng.random() < 0.15:
+                lines.insert(rng.randint(0, len(lines)), paid("li"))
+            return f"<{t}{z}>" + "".join(lines) + f"</{t}>"
         if r < 0.95:
             return f"<blockquote{z}><p{z}>{w(5, 40)}</p></blockquote>"
         if r < 0.98:

@@ -28,8 +28,6 @@ from .simhash import shingle_hashes
 
 #: Labelled documents the lexicon and the calibration are fitted on, at most (about).
 FIT_ROWS = 16_000
-#: Learned entries kept, at most: the strongest.
-LEXICON = 4096
 PREFIX = (3, 9)
 SEED_WEIGHT = 1.5
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BORDER = range(7)
@@ -164,7 +162,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     weight = F.log((a + 0.5 * rate) / (b + 0.5 * (1 - rate)) * (1 - rate) / rate) / 2
     strong = counts.withColumns({"g": ratio, "weight": weight}).where((a / n > max(3 * rate, 0.5)) & (F.col("g") > 2 * math.log(tried)))
     stem_length = F.length(F.rtrim("e", F.lit("$")))
-    best = strong.orderBy(F.desc("g"), F.desc(stem_length), "e").limit(LEXICON).collect()
+    # All that pass the test come to the driver; the sample's bound also bounds how many these can be.
+    best = strong.orderBy(F.desc("g"), F.desc(stem_length), "e").collect()
     learned: dict[str, float] = {}
     inner: set[str] = set()  # all prefixes of what is kept
     for r in best:

@@ -60,3 +60,38 @@ def test_deep_pages_keep_their_layout():
             assert M.main_texts([nested, f"<{tag}>" * n + page], trees) == [want, want]
             nodes = M.parse(nested + "<main>")
             assert len(nodes) == n + 6 and nodes[-1].parent is nodes[0]
+
+
+STORY = "Words of the story, one after another. " * 12
+
+
+def page(inner):
+    return f"<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>More</a></li></ul></nav><article><h1>Heading</h1><p>{STORY}</p>{inner}<p>{STORY}The end.</p></article><footer>Copyright and so on</footer></body></html>"
+
+
+def test_controls_and_foreign_elements_take_in_nothing_else():
+    trees, words = M.fit(), " ".join(STORY.split())
+    plain = f"Heading {words} {words} The end."
+    for inner, said in (
+        ("<button>Press", ""), ("<button>Press</button>", ""), ("<svg/>", ""), ('<svg width="1"/>', ""), ("<select><option>One<option>Two", ""),
+        ("<select><option>One</option></select>", ""), ("<textarea>", ""), ("<textarea>typed</textarea>", ""), ("<iframe src=x></iframe>", ""), ("<canvas></canvas>", ""),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of it.</p>", "Where x = 2 holds for all of it."),
+    ):
+        want = plain if not said else f"Heading {words} {said} {words} The end."
+        assert M.main_texts([page(inner)], trees) == [want], inner
+
+
+def test_adverts_within_text_and_lists():
+    trees, words = M.fit(), " ".join(STORY.split())
+    said = f"<p>{STORY}<span class=advert>BUY <span>NOW</span> here</span> It goes on, as before.</p>"
+    items = "<ul><li>First of the items, in words.</li><li class='ad'>BUY NOW<li>Second of the items, in words.</li></ul>"
+    assert M.main_texts([page(said)], trees) == [f"Heading {words} {words} It goes on, as before. {words} The end."]
+    assert M.main_texts([page(items)], trees) == [f"Heading {words} First of the items, in words. Second of the items, in words. {words} The end."]
+
+
+def test_many_unclosed_raw_elements_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    M.parse("<textarea>" * 50_000 + "<title>x" * 50_000)
+    assert time.perf_counter() - began < 20
