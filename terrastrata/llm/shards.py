@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve.
 
-Language, source and size are quantised to eight bits each and turned into a curve index, so that rows
-close on the curve are close in every dimension and the shards' value ranges prune well on any of
-them. Rows are range-partitioned and sorted by index (then text checksum and id); each row's global
+Language, source and size are quantised to eight bits each by their quantiles over all rows, in their own
+order, and turned into a curve index. So rows close on the curve are close in every dimension, each bit halves
+the rows, and minimum and maximum of a run of rows tell on any of the three whether a filter can skip it. Rows are range-partitioned and sorted by index (then text checksum and id); each row's global
 place is its partition's offset plus its place there. Shards are runs of places: their row counts differ
 by one at most (the law ``rows``). Only one count per partition comes to the driver.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without, written
+from .common import guarded, table, without, written
 
 SHARDS, BITS = 8, 8
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
@@ -49,33 +49,61 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-@F.pandas_udf(T.LongType())
-def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS))
+def _name_key(name: Column, skip: int) -> Column:
+    """Seven bytes of a name behind its first ``skip`` as a number in the names' order (null: -1)."""
+    part = F.hex(F.substring(name.cast("binary"), F.lit(skip + 1), F.lit(7)))
+    return F.coalesce(F.conv(F.rpad(part, 14, "0"), 16, 10).cast("long"), F.lit(-1))
 
 
-def _axes(size: Column) -> list[Column]:
-    """Eight bits each: language and source by hash (null: 0), size on a logarithmic scale."""
-    top = (1 << BITS) - 1
+def _common(low: str | None, high: str | None) -> int:
+    """Bytes that all names from ``low`` to ``high`` begin with."""
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
-    def name(c: str) -> Column:
-        return F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(c)), F.lit(top))).cast("int")
 
-    return [name("lang"), name("source"), F.least(F.floor(8 * F.log2(size.cast("double"))), F.lit(top)).cast("int")]
+def with_curve(rows: DataFrame) -> DataFrame:
+    """``rows`` (``lang``, ``source``, ``size``) with ``curve``.
+
+    Two aggregates look at all rows: one row of ends of the names, so that what all share is left out of their
+    keys, and one of mergeable quantile sketches, 255 numbers a dimension. A value that many rows have
+    stands in the middle of the quantiles it takes.
+    """
+    names = ("lang", "source")
+    ends = rows.agg(*(f(F.col(c).cast("string")) for c in names for f in (F.min, F.max))).first()
+    keys = [_name_key(F.col(c).cast("string"), _common(ends[2 * i], ends[2 * i + 1])) for i, c in enumerate(names)] + [F.col("size")]
+    keyed = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
+    top = 1 << BITS
+    shares = [i / top for i in range(1, top)]
+    cuts = [np.array(c or [], np.int64) for c in keyed.agg(*(F.percentile_approx(f"__k{i}", shares, 10_000) for i in range(3))).first()]
+
+    @F.pandas_udf(T.LongType())
+    def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        axes = [(np.searchsorted(q, x, "left") + np.searchsorted(q, x, "right")) // 2 for q, x in zip(cuts, (a, b, c))]
+        return pd.Series(hilbert_index(np.stack(axes, axis=1), BITS))
+
+    return keyed.withColumn("curve", curve("__k0", "__k1", "__k2")).drop("__k0", "__k1", "__k2")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
 
 
 def along_curve(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``size``, ``text_crc32``, ``curve``, ``law``, ``shard``, ``slot``, ``grown_shard``.
+    """``docs`` with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``curve``.
 
-    A null text has size 1 and checksum 0; null languages and sources take place 0 of their axis. Ties
+    A null text has size 1 and checksum 0; null languages and sources come before all others on their axis. Ties
     on the curve are ordered by checksum and id, fully equal rows in any order. ``slot`` counts from 0
-    without gaps in each shard; ``grown_shard`` is null under the law ``rows``. Input columns with these
-    names are replaced, others pass through; an empty table gives no rows.
+    without gaps in each shard; ``grown_shard`` is null under the law ``rows``. Very long texts are rows like
+    others. Input columns with these names are replaced, others pass through; an empty table gives no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = (F.octet_length(text) + 1).cast("long")
-    keyed = without(docs, *(n for n in ADDED if n != "text")).withColumns({"size": size, "text_crc32": F.crc32(text.cast("binary"))})
-    return _cut_runs(keyed.withColumn("curve", _curve(*_axes(F.col("size")))), shards)
+    own, back = guarded(without(docs, *ADDED))
+    return back(_cut_runs(with_curve(_measured(own)), shards), *ADDED)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """``along_curve`` as Parquet, a folder per shard; rows follow the curve, so that files and row groups prune as well."""
+    along_curve(docs, shards).write.partitionBy("shard").parquet(path)
 
 
 def _cut_runs(keyed: DataFrame, shards: int) -> DataFrame:
@@ -104,8 +132,6 @@ def _cut_runs(keyed: DataFrame, shards: int) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard every document; the text itself isn't moved."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = (F.octet_length(text) + 1).cast("long")
-    slim = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = _cut_runs(slim.withColumn("curve", _curve(*_axes(F.col("size")))), SHARDS)
+    slim = written(_measured(docs).drop("text"))  # some 40 bytes a row, so that texts are read once
+    out = _cut_runs(with_curve(slim), SHARDS)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")

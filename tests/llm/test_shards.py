@@ -44,3 +44,35 @@ def test_edges(spark):
     check(out)
     assert sorted(r["size"] for r in out)[:3] == [1, 1, 1] and all(r["key"] in ("k", None) for r in out)
     assert shards.along_curve(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_filters_skip_shards(spark, sf_dir, tmp_path):
+    """How many of 16 shards a filter must open by their minimum and maximum, against runs in order of doc_id."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    shards.write_shards(docs, f"{tmp_path}/s", 16)
+    rows = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/s").select("doc_id", "lang", "source", "size", "shard").collect()]
+    assert len(rows) == docs.count()
+
+    def opened(of, column, low, high):
+        ends = {}
+        for r in rows:
+            a, b = ends.get(of(r), (r[column], r[column]))
+            ends[of(r)] = min(a, r[column]), max(b, r[column])
+        return sum(a <= high and low <= b for a, b in ends.values())
+
+    ids = {d: i * 16 // len(rows) for i, d in enumerate(sorted(r["doc_id"] for r in rows))}
+    sizes = sorted(r["size"] for r in rows)
+    filters = [("lang", v, v) for v in {r["lang"] for r in rows}] + [("source", v, v) for v in {r["source"] for r in rows}]
+    filters += [("size", sizes[i * len(sizes) // 8], sizes[(i + 1) * len(sizes) // 8 - 1]) for i in range(8)]
+    for column, most in (("lang", 10), ("source", 10), ("size", 10)):
+        mine = [f for f in filters if f[0] == column]
+        curve = sum(opened(lambda r: r["shard"], *f) for f in mine) / len(mine)
+        by_id = sum(opened(lambda r: ids[r["doc_id"]], *f) for f in mine) / len(mine)
+        print(column, curve, by_id)
+        assert curve < most < 15 < by_id
+
+
+def test_clashing_columns(spark):
+    odd = table(spark).selectExpr("*", "1 AS __at", "2 AS __part", "3 AS __place", "4 AS __k0", "'x' AS curve")
+    out = shards.along_curve(odd).collect()
+    assert {(r["__at"], r["__part"], r["__place"], r["__k0"]) for r in out} == {(1, 2, 3, 4)} and all(isinstance(r["curve"], int) for r in out)
