@@ -46,12 +46,9 @@ def nearest(params: Column, wanted: Column, tolerance: float = 1e-6) -> Column:
     return F.when(inside, F.array_min(every)["i"])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, cell: float = 1000.0) -> DataFrame:
-    """Each row of ``left`` with the nearest row of ``right`` (``at``, ``value``) in its group; the earlier of two.
-
-    ``cell`` is the length of the pieces in which a group's axis is worked on.
-    """
-    out = nearest_on_line(left, right, by, at, value, F.floor(F.col(at) / cell), lambda a, b: b - a)
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """Each row of ``left`` with the nearest row of ``right`` (``at``, ``value``) in its group; the earlier of two."""
+    out = nearest_on_line(left, right, by, at, value, lambda a, b: b - a)
     return out.where("__at IS NOT NULL").select(*by, at, F.col("__at").alias(f"{at}_near"), F.col("__value").alias(value))
 
 

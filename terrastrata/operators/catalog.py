@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, paths
@@ -161,9 +160,29 @@ def co_grouped(granules: DataFrame, data: list[str], masks: list[str], key: list
 
 
 def dedupe(granules: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
-    """One row per key: the greatest by ``newest``."""
-    w = W.partitionBy(*key).orderBy(*(F.desc(c) for c in newest))
-    return granules.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    """One row per key: the greatest by ``newest``. A maximum, so it combines before the shuffle."""
+    others = [c for c in granules.columns if c not in key]
+    best = granules.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*newest)).alias("__row"))
+    return best.select(*(c if c in key else F.col("__row")[c].alias(c) for c in granules.columns))
+
+
+def hulls(points: DataFrame, by: list[str], part: int = 256) -> DataFrame:
+    """The corners (``x``, ``y``) of the convex hull of each group's points.
+
+    Points are dealt into parts of about ``part``; the corners of the parts' hulls are the points of the next
+    step, until a group fits one part. A corner of the whole is one of its part, so none is lost, and no task
+    gathers more than a part. One number per step comes to the driver.
+    """
+    left, before = points.where("x IS NOT NULL AND y IS NOT NULL").select(*by, "x", "y").distinct(), None
+    while True:
+        sizes = left.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        parts = max(1, -(-most // part)) if before is None or most < before else 1
+        dealt = left.groupBy(*by, F.pmod(F.xxhash64("x", "y"), F.lit(parts)).alias("__part"))
+        left = dealt.agg(F.collect_list(F.struct("x", "y")).alias("__r")).select(*by, F.inline(geo.hull(F.col("__r"))))
+        if parts == 1:
+            return left
+        before = most
 
 
 def all_of(parts: list[DataFrame]) -> DataFrame:

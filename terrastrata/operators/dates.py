@@ -119,11 +119,11 @@ def generate(spark: SparkSession, name: str, start: str, end: str, minutes: int
     return made(spark, start, end, minutes) if made else spark.createDataFrame([], "ts timestamp_ntz")
 
 
-def on_grid(observed: DataFrame, grid: DataFrame, by: list[str], cell: str = "day") -> DataFrame:
-    """For each grid date the nearest observed one of its group, the earlier of two; ``cell``: see ``nearest``."""
+def on_grid(observed: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+    """For each grid date the nearest observed one of its group, the earlier of two."""
     known = observed.select(*by, "ts", F.lit(1).alias("one"))
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
-    out = nearest(grid, known, by, "ts", "one", F.date_trunc(cell, F.col("ts")), gap)
+    out = nearest(grid, known, by, "ts", "one", gap)
     return out.select(*by, "ts", F.col("__at").alias("nearest"))
 
 

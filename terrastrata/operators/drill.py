@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .nearest import in_cells
+
 
 def window(pixels: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
     """Pixels of a rectangle, ends included."""
@@ -32,22 +34,21 @@ def pixel_fraction(pixels: DataFrame, by: list[str], low: float, high: float) ->
     return pixels.groupBy(*by).agg(F.coalesce(F.try_divide(inside, valid), F.lit(0.0)).alias("value"), valid.alias("count"))
 
 
-def deciles(pixels: DataFrame, by: list[str], anchors: int = 9, cells: int = 1024) -> DataFrame:
+def deciles(pixels: DataFrame, by: list[str], anchors: int = 9) -> DataFrame:
     """``anchors`` order statistics of the valid values, one row each (``decile`` from 1).
 
     With n values and ``step = n div (anchors + 1)`` the i-th is the value at ``(i + 1) * step`` counted
     from 0, averaged with the next where ``anchors + 1`` divides n; the next is the last at the end.
     Fewer values than anchors + 1 repeat in sorted order.
 
-    Equal values are counted, then counts summed over ``cells`` cells of each group's range. Running
+    Equal values are counted, then counts summed over cells that hold about equally many values. Running
     counts over the cells say which of them hold a wanted rank; values are ranked within these alone. So
     neither a group's values nor its distinct values meet in one task.
     """
     counts = pixels.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
-    span = counts.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
+    span = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
-    placed = counts.alias("c").join(span.alias("s"), same("c", "s")).select(*(F.col(f"c.{c}").alias(c) for c in by), "value", "c", place.alias("cell"))
+    placed = in_cells(counts, by, "value", "cell")
 
     w = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
     running = placed.groupBy(*by, "cell").agg(F.sum("c").alias("m")).withColumn("to", F.sum("m").over(w))

@@ -16,6 +16,7 @@ _WORD = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<
 FUNCTIONS = frozenset("abs ceil exp floor greatest least log log10 pow round sqrt".split())
 #: Limits of one request.
 MAX_VARIABLES, MAX_WORDS, MAX_EXPRESSIONS = 10, 200, 10
+_SIGNS = (" - ", " + ", " NOT ")
 _SQL = {"&&": " AND ", "||": " OR ", "!": " NOT ", "==": " = "}
 
 
@@ -74,28 +75,32 @@ def _sql(words: list[tuple[str, str]]) -> str:
         if c < 0:
             raise ValueError("a choice without ':'")
         return f"IF({_sql(words[:q])}, {_sql(words[q + 1 : c])}, {_sql(words[c + 1 :])})"
-    parts, i = [], 0
+    parts, i = [], 0  # operands (a call or a bracket is one) and operators
     while i < len(words):
         kind, w = words[i]
-        if w == "(":
-            depth, j = 1, i + 1
+        call = kind == "name" and i + 1 < len(words) and words[i + 1][1] == "("
+        if w == "(" or call:
+            first = i + 2 if call else i + 1
+            depth, j = 1, first
             while j < len(words) and depth:
                 depth += (words[j][1] == "(") - (words[j][1] == ")")
                 j += 1
             if depth:
                 raise ValueError("brackets don't match")
-            parts.append(f"({_arguments(words[i + 1 : j - 1])})")
+            parts.append(f"{w if call else ''}({_arguments(words[first : j - 1])})")
             i = j
         elif w == ")":
             raise ValueError("brackets don't match")
         else:
-            known = kind == "name" and i + 1 < len(words) and words[i + 1][1] == "("
-            parts.append(w if kind == "number" or known else f"`{w}`" if kind == "name" else _SQL.get(w, f" {w} "))
+            parts.append(w if kind == "number" else f"`{w}`" if kind == "name" else _SQL.get(w, f" {w} "))
             i += 1
-    for i in range(len(parts) - 2, 0, -1):  # powers bind to the right
-        if parts[i].strip() == "**":
-            left = i - 1
-            parts[left : i + 2] = [f"POW({parts[left]}, {parts[i + 1]})"]
+    for i in range(len(parts) - 2, 0, -1):  # powers bind to the right, and more than a sign before them
+        if parts[i] == " ** ":
+            end = i + 1
+            while end < len(parts) - 1 and parts[end] in _SIGNS:
+                end += 1
+            exponent = "".join(parts[i + 1 : end + 1])
+            parts[i - 1 : end + 1] = [f"POW({parts[i - 1]}, {exponent})"]
     return "".join(parts)
 
 

@@ -1,28 +1,49 @@
 """Nearest neighbours on a line, without pairs and without a group in one task.
 
-Each group's line is cut into cells. The last known place of every cell, and the first, are small
+Each group's line is cut into cells that hold about equally many rows, wherever these lie. The last known place of every cell, and the first, are small
 tables; a window over them says what is known before and behind each cell. Within a cell one more window
 says it for each row. So the rows that a task sorts are those of a cell, however large a group is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest(probes: DataFrame, known: DataFrame, by: list[str], at: str, value: str, cell: Column, gap) -> DataFrame:
+#: Cells of a group: SIDE blocks of SIDE cells.
+SIDE = 32
+
+
+def in_cells(rows: DataFrame, by: list[str], at: str, name: str = "__cell") -> DataFrame:
+    """``rows`` with the cell of ``at`` in its group: how many of the group's approximate quantiles don't exceed it.
+
+    Cells rise with ``at`` and hold about equally many rows, so an outlier or a dense stretch fills none. A
+    cell is found in two steps, first its block.
+    """
+    shares = [k / (SIDE * SIDE) for k in range(1, SIDE * SIDE)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(at, shares, 10_000).alias("__cuts"))
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda _, i: (i + 1) % SIDE == 0)).withColumnsRenamed({c: f"__of_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by), F.lit(True))
+    block = F.size(F.filter("__coarse", lambda x: x <= F.col(at)))
+    joined = rows.join(cuts, same).withColumn("__block", block)
+    fine = F.size(F.filter(F.slice("__cuts", F.col("__block") * SIDE + 1, SIDE - 1), lambda x: x <= F.col(at)))
+    return joined.withColumn(name, F.col("__block") * SIDE + fine).drop("__cuts", "__coarse", "__block", *(f"__of_{c}" for c in by))
+
+
+def nearest(probes: DataFrame, known: DataFrame, by: list[str], at: str, value: str, gap) -> DataFrame:
     """``probes`` (``by``, ``at``) with ``__at`` and ``__value`` of the nearest ``known`` row, the earlier of two.
 
-    ``cell`` maps a place to its cell (not falling as places rise); ``gap(a, b)`` is the distance from
-    ``a`` up to ``b``. Groups without known rows give nulls.
+    ``gap(a, b)`` is the distance from ``a`` up to ``b``. Groups without known rows give nulls.
     """
     found = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
     none = F.lit(None).cast(known.select(found.alias("f")).schema["f"].dataType)
     rows = known.select(*by, at, found.alias("__known"), F.lit(False).alias("__probe"), F.lit(0).cast("long").alias("__n"))
     asked = probes.groupBy(*by, at).agg(F.count(F.lit(1)).alias("__n")).select(*by, at, none.alias("__known"), F.lit(True).alias("__probe"), "__n")
-    both = rows.unionByName(asked).withColumn("__cell", cell)
+    both = in_cells(rows.unionByName(asked), by, at)
 
     ends = both.groupBy(*by, "__cell").agg(F.max(F.when(~F.col("__probe"), F.col("__known"))).alias("last"), F.min(F.when(~F.col("__probe"), F.col("__known"))).alias("first"))
     line = W.partitionBy(*by).orderBy("__cell")

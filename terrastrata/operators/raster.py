@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Groups up to which their ranges (some 50 bytes each) are broadcast.
+MOST_RANGES = 100_000
+
+
 def mosaic(pixels: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The latest valid value of each pixel: the value with the greatest ``order``, whatever the rows' order.
 
@@ -53,10 +57,16 @@ def scale(value: Column, offset: float, factor: float, clip: float) -> Column:
 
 
 def auto_scale(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Scaled by each group's own range; a single value gets a range of 0.1."""
+    """Scaled by each group's own range; a single value gets a range of 0.1.
+
+    Groups (bands, in most cases) are few and large: where a count shows that, their ranges are broadcast and
+    the pixels stay where they are.
+    """
     low = pixels.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     high = F.when(F.col("high") == F.col("low"), F.col("high") + 0.1).otherwise(F.col("high"))
-    joined = pixels.join(low.withColumn("high", high), by)
+    ranges = low.withColumn("high", high)
+    few = ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES
+    joined = pixels.join(F.broadcast(ranges) if few else ranges, by)
     scaled = F.floor((F.col("value") - F.col("low")) * (254 / (F.col("high") - F.col("low"))))
     return joined.withColumn("byte", F.when(F.col("value").isNull(), 255).otherwise(scaled).cast("int")).drop("low", "high")
 

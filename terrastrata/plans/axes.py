@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import bands, pixels, series, table
+from ..model import bands, pixels, table
 from ..operators import axes, expressions, raster, requests
 from .base import query
 
@@ -50,14 +50,16 @@ def select_nearest(spark, sf_dir):
 
 @query(
     "nearest_join",
-    """WITH l AS (SELECT DISTINCT ns, CAST(event_id AS DOUBLE) AS at FROM series WHERE event_id % 7 = 0), r AS (SELECT ns, CAST(event_id AS DOUBLE) AS at, value FROM series WHERE event_id % 11 = 0)
-    SELECT l.ns, l.at, arg_min(r.at, row(abs(r.at - l.at), r.at)) AS at_near, arg_min(r.value, row(abs(r.at - l.at), r.at)) AS value FROM l JOIN r USING (ns) GROUP BY l.ns, l.at""",
-    "series",
+    """WITH s AS (SELECT user_id % 50 AS grp, CAST(event_id AS DOUBLE) AS t, value, event_type = 'click' AS probe FROM events), r AS (SELECT grp, t, value FROM s WHERE NOT probe),
+    b AS (SELECT l.grp, l.t, r.t AS b_t, r.value AS b_value FROM (SELECT grp, t FROM s WHERE probe) l ASOF LEFT JOIN r ON l.grp = r.grp AND l.t >= r.t),
+    f AS (SELECT b.*, r.t AS f_t, r.value AS f_value FROM b ASOF LEFT JOIN r ON b.grp = r.grp AND b.t <= r.t)
+    SELECT grp, t AS "at", CASE WHEN back THEN b_t ELSE f_t END AS at_near, CASE WHEN back THEN b_value ELSE f_value END AS value
+    FROM (SELECT *, f_t IS NULL OR (b_t IS NOT NULL AND t - b_t <= f_t - t) AS back FROM f) WHERE coalesce(b_t, f_t) IS NOT NULL""",
 )
 def nearest_join(spark, sf_dir):
-    """As-of join on the nearest key."""
-    s = series(spark, sf_dir).withColumn("at", F.col("event_id").cast("double"))
-    return axes.nearest_join(s.where("event_id % 7 = 0").select("ns", "at"), s.where("event_id % 11 = 0"), ["ns"], "at", "value")
+    """As-of join on the nearest key: each click with the nearest other event of its group of users."""
+    s = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("grp"), F.col("event_id").cast("double").alias("at"), "value", "event_type")
+    return axes.nearest_join(s.where("event_type = 'click'").select("grp", "at"), s.where("event_type <> 'click'"), ["grp"], "at", "value")
 
 
 @query(
@@ -74,13 +76,13 @@ def axis_strides(spark, sf_dir):
 
 @query(
     "granules",
-    f"""WITH {FILES}, g AS (SELECT *, unnest(range(least(len(depth), 2))) AS d FROM files), h AS (SELECT *, unnest(range(3)) AS l FROM g)
+    f"""WITH {FILES}, g AS (SELECT *, unnest(range(len(depth))) AS d FROM files), h AS (SELECT *, unnest(range(3)) AS l FROM g)
     SELECT id, CAST(1 + d * 3 + l AS INT) AS band, ns || '#level=' || level[l + 1] AS key, depth[d + 1] AS order_stamp FROM h""",
 )
 def granules(spark, sf_dir):
     """One row per file and axis combination, band numbers and names."""
     f = _files(spark, sf_dir)
-    chosen = {"depth": F.slice(axes.default_positions(F.col("depth"), 1), 1, 2), "level": axes.default_positions(F.col("level"), 1)}
+    chosen = {"depth": axes.default_positions(F.col("depth"), 1), "level": axes.default_positions(F.col("level"), 1)}
     out = axes.granules(f, chosen, {"depth": F.col("depth"), "level": F.col("level")}, {"depth": F.lit(3), "level": F.lit(1)}, aggregated=frozenset(["depth"]))
     return out.select("id", "band", "key", "order_stamp")
 
@@ -92,10 +94,10 @@ def default_axis(spark, sf_dir):
     return out.select("id", F.get("depth", F.get("p", F.lit(0))).alias("value"), F.size("p").alias("n"))
 
 
-@query("axis_order", f"WITH {FILES}, i AS (SELECT id, depth, unnest(range(len(depth))) AS pos FROM files WHERE id < 200) SELECT id, CAST(pos AS INT) AS pos, CAST(len(depth) - 1 - pos AS INT) AS rank FROM i ORDER BY id, rank")
+@query("axis_order", f"WITH {FILES}, i AS (SELECT id, depth, unnest(range(len(depth))) AS pos FROM files) SELECT id, CAST(pos AS INT) AS pos, CAST(len(depth) - 1 - pos AS INT) AS rank FROM i ORDER BY id, rank")
 def axis_order(spark, sf_dir):
     """Mirrored order of an axis."""
-    out = _files(spark, sf_dir).where("id < 200").select("id", "depth", F.explode(axes.default_positions(F.col("depth"), 1)).alias("pos"))
+    out = _files(spark, sf_dir).select("id", "depth", F.explode(axes.default_positions(F.col("depth"), 1)).alias("pos"))
     return out.select("id", "pos", axes.mirrored(F.col("pos"), F.size("depth"), 1).alias("rank")).orderBy("id", "rank")
 
 

@@ -91,11 +91,11 @@ def time_slices(spark, sf_dir):
     return dates.slices(spark, "2010-03-01", "2015-01-01", 2).select(iso(F.col("from")).alias("from"), iso(F.col("to")).alias("to"))
 
 
-@query("fusion_dates", f"SELECT DISTINCT {DAY.format('d')} AS day FROM (SELECT o_orderdate AS d FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT l_shipdate FROM lineitem WHERE l_orderkey % 90 = 0) ORDER BY day")
+@query("fusion_dates", f"SELECT DISTINCT {DAY.format('d')} AS day FROM (SELECT o_orderdate AS d FROM orders UNION SELECT l_shipdate FROM lineitem) ORDER BY day")
 def fusion_dates(spark, sf_dir):
     """Distinct dates of two layers together (U-3)."""
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").alias("d"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey % 90 = 0").select(F.col("l_shipdate").alias("d"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("d"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("d"))
     return a.union(b).select(F.date_format("d", "yyyy-MM-dd").alias("day")).distinct().orderBy("day")
 
 

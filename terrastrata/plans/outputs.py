@@ -40,12 +40,16 @@ def lossy_transform(spark, sf_dir):
     return footprints(spark, sf_dir).select("id", F.size(geo.lossy_transform(ring, 4326, 3857)).alias("points"))
 
 
-@query("convex_hull", "SELECT ns, min(xmin) AS xmin, max(xmin) AS xmax, min(ymin) AS ymin, max(ymin) AS ymax FROM footprints WHERE id < 400 GROUP BY ns", "footprints")
+#: Of each column of points the lowest and the highest; a corner is where the slopes from the left stay below those to
+#: the right (above, on the upper side), which leaves out points on an edge.
+@query("convex_hull", """WITH c AS (SELECT ns, xmin AS x, min(ymin) AS lo, max(ymin) AS hi FROM footprints GROUP BY ns, xmin),
+    s AS (SELECT p.ns, p.x, p.lo, p.hi, max((p.lo - q.lo) / (p.x - q.x)) FILTER (q.x < p.x) AS l1, min((q.lo - p.lo) / (q.x - p.x)) FILTER (q.x > p.x) AS l2,
+      min((p.hi - q.hi) / (p.x - q.x)) FILTER (q.x < p.x) AS h1, max((q.hi - p.hi) / (q.x - p.x)) FILTER (q.x > p.x) AS h2 FROM c p JOIN c q USING (ns) GROUP BY 1, 2, 3, 4)
+    SELECT ns, x, lo AS y FROM s WHERE l1 IS NULL OR l2 IS NULL OR l1 < l2 UNION SELECT ns, x, hi FROM s WHERE h1 IS NULL OR h2 IS NULL OR h1 > h2""", "footprints")
 def convex_hull(spark, sf_dir):
-    """Hulls of the corners of some granules, whose boxes are those of the points."""
-    corners = footprints(spark, sf_dir).where("id < 400").groupBy("ns").agg(F.collect_list(F.struct(F.col("xmin").alias("x"), F.col("ymin").alias("y"))).alias("r"))
-    box = corners.select("ns", geo.envelope(geo.hull(F.col("r"))).alias("b"))
-    return box.select("ns", "b.xmin", "b.xmax", "b.ymin", "b.ymax")
+    """Corners of the hull of each variable's granules."""
+    corners = footprints(spark, sf_dir).select("ns", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    return catalog.hulls(corners, ["ns"])
 
 
 @query("picture_tiles")
@@ -91,7 +95,8 @@ def metrics_windows(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), "ns", "requests", "bytes")
 
 
-@query("file_listing")
+@query("file_listing", """SELECT name || '.parquet' AS name, true AS filled, 32 AS id_length FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'),
+    ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) v(name)""")
 def file_listing(spark, sf_dir):
     """Files below a folder by a filter, without reading them."""
     found = crawl.list_files(spark, sf_dir, "path =~ 'parquet$' && !(path =~ 'part-')")

@@ -106,3 +106,38 @@ def test_geotiff_round_trip(spark, tmp_path):
     got = geotiff.read_pixels(spark, str(tmp_path)).where("value IS NOT NULL").collect()
     seen = sorted(("pq"[r["band"] - 1], r["py"] + 4 * int(r["path"][-5]), r["px"] + 4 * int(r["path"][-7]), r["value"]) for r in got)
     assert seen == sorted(rows)
+
+
+def test_geotiff_tiles_and_deflate(spark, tmp_path):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from terrastrata.sources import geotiff as G
+
+    grid = np.arange(2 * 7 * 9).reshape(7, 9, 2).astype("<i2")  # rows x columns x bands, 4 x 4 tiles
+    blocks = []
+    for y in range(0, 7, 4):
+        for x in range(0, 9, 4):
+            block = np.zeros((4, 4, 2), "<i2")
+            part = grid[y : y + 4, x : x + 4]
+            block[: part.shape[0], : part.shape[1]] = part
+            block[:, 1:] = np.diff(block, axis=1)
+            blocks.append(zlib.compress(block.tobytes()))
+    at, where = 8, []
+    for b in blocks:
+        where.append(at)
+        at += len(b)
+    extra = at
+    body = b"".join(blocks) + struct.pack(f"<{len(blocks)}I", *where) + struct.pack(f"<{len(blocks)}I", *map(len, blocks)) + struct.pack("<2H2H", 16, 16, 2, 2)
+    n = len(blocks)
+    entries = [(256, 4, 1, 9), (257, 4, 1, 7), (258, 3, 2, None), (259, 3, 1, 8), (277, 3, 1, 2), (317, 3, 1, 2), (322, 4, 1, 4), (323, 4, 1, 4), (324, 4, n, extra), (325, 4, n, extra + 4 * n), (339, 3, 2, None)]
+    table = b"".join(struct.pack("<HHI", t, k, c) + (struct.pack("<I", v) if v is not None else struct.pack("<2H", *((16, 16) if t == 258 else (2, 2)))) for t, k, c, v in entries)
+    data = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(entries)) + table + b"\0\0\0\0"
+    (tmp_path / "a.tif").write_bytes(data)
+    got = {(r["band"], r["py"], r["px"]): r["value"] for r in G.read_pixels(spark, str(tmp_path)).collect()}
+    assert got == {(b + 1, y, x): float(grid[y, x, b]) for b in range(2) for y in range(7) for x in range(9)}
+    packed = data.replace(struct.pack("<HHII", 259, 3, 1, 8), struct.pack("<HHII", 259, 3, 1, 5))
+    with pytest.raises(ValueError, match="can't be read"):
+        list(G._blocks("b.tif", packed))

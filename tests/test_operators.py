@@ -150,3 +150,49 @@ def test_file_names(spark):
 def test_query_maps(spark):
     got = values(spark, [("A=1&b=x\\&y&a=2&flag",)], "q string", requests.query_map(F.col("q")))
     assert got == [({"a": "2", "b": "x&y"},)]
+
+
+def test_powers_of_calls_brackets_and_signs(spark):
+    df = spark.createDataFrame([(4.0, 2.0)], "a double, b double")
+    for text, want in (
+        ("sqrt(a)**2", 4.0), ("a ** -1", 0.25), ("2 ** 3 ** b", 512.0), ("-a ** 2", -16.0), ("(a + b) ** (b - 1)", 6.0), ("b ** sqrt(a) ** 2", 16.0),
+        ("pow(a, b) ** 0.5 + 1", 5.0), ("a ** - -b", 16.0),
+    ):
+        assert df.select(expressions.parse(text, ["a", "b"]).column()).first()[0] == pytest.approx(want), text
+
+
+def test_cells_hold_equally_many_rows_beside_an_outlier(spark):
+    rows = [(1, float(i)) for i in range(5000)] + [(1, 1e12), (2, 3.0)]
+    df = spark.createDataFrame(rows, "k int, value double")
+    from terrastrata.operators.nearest import in_cells
+
+    placed = in_cells(df, ["k"], "value", "cell")
+    sizes = [r["count"] for r in placed.groupBy("k", "cell").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100
+    order = [r["cell"] for r in placed.where("k = 1").orderBy("value").collect()]
+    assert order == sorted(order)
+    assert [r["value"] for r in drill.deciles(df, ["k"]).where("k = 1").orderBy("decile").collect()] == [float(500 * (i + 1)) for i in range(9)]
+
+
+def test_hulls_of_many_points_in_steps(spark):
+    rng = random.Random(4)
+    points = [(1, float(rng.randint(0, 300)), float(rng.randint(0, 300))) for _ in range(3000)] + [(2, 1.0, 1.0), (3, 0.0, 0.0), (3, 2.0, 2.0), (3, 1.0, 1.0)]
+    got = {k: sorted((r["x"], r["y"]) for r in rows) for k, rows in _grouped(catalog.hulls(spark.createDataFrame(points, "k int, x double, y double"), ["k"], part=64)).items()}
+
+    def chain(p):
+        out = []
+        for c in p:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(c)
+        return out[:-1]
+
+    own = sorted({p[1:] for p in points if p[0] == 1})
+    assert got[1] == sorted(chain(own) + chain(own[::-1])) and got[2] == [(1.0, 1.0)] and got[3] == [(0.0, 0.0), (2.0, 2.0)]
+
+
+def _grouped(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["k"], []).append(r)
+    return out
