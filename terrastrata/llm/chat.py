@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import let, table
 
 TURN, BODY, NEXT, END = "<|turn|>", "<|body|>", "<|next|>", "<|end|>"
-#: Strings that chat templates read as control: ours, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>.
-_ANGLE, _SQUARE, _ESCAPED = r"<(?=\|\w+\|>|/?s>|<?/?SYS>>)", r"\[(?=/?INST\])", r"(?=(?:amp|lt|lsqb);)"
+#: What chat templates may read as control: any run without blanks in angle brackets (ours, <s>, <bos>, <start_of_turn>,
+#: <|im-end|>, <<SYS>>), and upper-case names in square ones ([INST], [/INST], [SYSTEM_PROMPT]).
+_ANGLE, _SQUARE, _ESCAPED = r"<(?=[^<>\s]{1,64}>)", r"\[(?=/?[A-Z][A-Z0-9_]*\])", r"(?=(?:amp|lt|lsqb);)"
 
 
 def escape(text: Column) -> Column:
@@ -89,14 +90,16 @@ def format_chats(rows: DataFrame) -> DataFrame:
     rows: each input row stays one turn. Null texts and roles are empty; rows whose ``conv_id`` is null
     form one conversation. Extra columns are ignored; an empty table gives no rows. Escaping runs before
     the shuffle, so that even a conversation with a large share of all rows only has its finished
-    texts joined in one place: its output is one string.
+    texts joined in one place: its output is one string. Very long texts are handled whole.
     """
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
+    raw = {c: F.coalesce(F.col(c), F.lit("")) for c in ("role", "text")}
+    # Sorted as they stand; the escaped form goes along only where it differs.
+    changed = [F.nullif(escape(x), x).alias(f"escaped_{c}") for c, x in raw.items()]
+    turn = F.struct(F.col("turn").alias("turn"), *(x.alias(c) for c, x in raw.items()), *changed)
+    sorted_turns = F.transform(
+        F.sort_array(F.collect_list("turn")),
+        lambda t: F.struct(*(F.coalesce(t[f"escaped_{c}"], t[c]).alias(c) for c in raw)),
     )
-    sorted_turns = F.sort_array(F.collect_list("turn"))
     merged = rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(sorted_turns.alias("turns"))
     segments = merged.select("conv_id", _segments(_blocks(F.col("turns"))).alias("segments"))
     return segments.select(
@@ -127,7 +130,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation and digest what is read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    each = F.array(*(F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))
+    probe = spark.range(1).select(F.inline(each)).select(*(F.col(f.name).cast(f.dataType) for f in rows.schema))
     out = format_chats(rows.unionByName(probe))
     read = out.select(
         "conv_id",
@@ -155,7 +159,7 @@ WITH rows AS (
 ), marked AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
     regexp_replace(regexp_replace(regexp_replace(text, '&(amp|lt|lsqb);', '&amp;\1;', 'g'),
-      '<(\|\w+\|>|/?s>)', '&lt;\1', 'g'), '\[(/?INST\])', '&lsqb;\1', 'g') AS escaped
+      '<([^<>\s]{1,64}>)', '&lt;\1', 'g'), '\[(/?[A-Z][A-Z0-9_]*\])', '&lsqb;\1', 'g') AS escaped
   FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,

@@ -66,6 +66,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
+def one_of(chars: str) -> str:
+    """A pattern for one of ``chars``, each written out, which Java looks up in one table."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]"
+
+
 def words_of(text: Column) -> Column:
     """The runs of characters other than white space; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, hinted, table, without, written
+from .common import cut, guarded, hinted, one_of, table, without, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its own share to this power, normalised (1: as found, 0: all equal).
@@ -32,7 +32,7 @@ _WHITE = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 
 def _count_of(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are among ``chars``, which are few in most texts."""
-    return F.size(F.split(text, "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]", -1)) - 1
+    return F.size(F.split(text, one_of(chars), -1)) - 1
 
 
 def n_tokens(pieces: Column) -> Column:

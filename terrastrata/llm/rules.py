@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, hinted, let, table, without, written
+from .common import cut, guarded, hinted, let, one_of, table, without, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -29,11 +29,6 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*BASE, "base_failed", "kept")
 
 
-def _one_of(chars: str) -> str:
-    """A pattern for one of ``chars``, each written out, which Java looks up in one table."""
-    return "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]"
-
-
 def with_repeats(df: DataFrame, name: str, words: str, width: int = WINDOW) -> DataFrame:
     """``df`` with ``name``: the words that lie in windows of ``width`` words found twice or more in the text.
 
@@ -72,7 +67,7 @@ def measure(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
 
     said = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = without(docs, *ADDED).withColumn("__pieces", F.split(text, _one_of(blank) + "+", -1))
+    counted = without(docs, *ADDED).withColumn("__pieces", F.split(text, one_of(blank) + "+", -1))
     first = (F.get("__pieces", F.lit(0)) == "").cast("int")  # white space before the first word, or no word
     size = F.size("__pieces") - first - (F.get("__pieces", F.size("__pieces") - 1) == "").cast("int")
     counted = counted.withColumn("__words", F.slice("__pieces", 1 + first, F.greatest(size, F.lit(0)))).drop("__pieces")
@@ -80,7 +75,7 @@ def measure(docs: DataFrame) -> DataFrame:
         {
             "n_words": F.size("__words").cast("long"),
             "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": (F.size(F.split(text, _one_of(SYMBOLS), -1)) - 1).cast("long"),
+            "n_symbols": (F.size(F.split(text, one_of(SYMBOLS), -1)) - 1).cast("long"),
             "__upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
             "__said": let(said, lines),
         }

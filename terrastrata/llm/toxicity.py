@@ -19,11 +19,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .fitting import fit_logistic, labelled_sample
+from .fitting import fit_logistic, held_out, labelled_sample
 from .simhash import shingle_hashes
 
 #: Labelled documents the lexicon and the calibration are fitted on, at most (about).
@@ -127,11 +127,6 @@ def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return math.log1p(max(total, 0.0)), min(max(top, 0.0), 10.0) / 5, math.log1p(len(scores))
 
 
-def held_out(doc_id: Column) -> Column:
-    """One document in five, whose label nothing here reads (null ids: held out)."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
-
-
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Weights of the prefixes and words (marked ``$``) that toxic texts of ``sample`` (``text``, ``y``) hold.
 

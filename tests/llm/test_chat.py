@@ -38,3 +38,19 @@ def test_query_digests(spark, sf_dir):
     want = hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row["turns_sha256"] == want and row["n_turns"] == 2 and row["loss_chars"] == len(said)
     assert row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_ties_follow_the_texts_as_they_stand(spark):
+    data = [(1, 0, "user", t, "") for t in ("<s>a", "5", "[INST]", "Z", "&lt;", None)]
+    out = chat.format_chats(spark.createDataFrame(data, KIND))
+    turns = out.select(chat.parse_chat(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in turns] == ["", "&lt;", "5", "<s>a", "Z", "[INST]"]
+
+
+def test_controls_of_other_templates_are_escaped(spark):
+    controls = ["<start_of_turn>", "<bos>", "<unk>", "<|im-end|>", "<|im_start|>", "[SYSTEM_PROMPT]", "[/INST]", "<<SYS>>", "<end_of_turn>"]
+    df = spark.createDataFrame([(c,) for c in controls], "t string").select("t", chat.escape(F.col("t")).alias("e"))
+    for r in df.select("t", "e", chat.unescape(F.col("e")).alias("u")).collect():
+        assert r["u"] == r["t"] and r["t"] not in r["e"]
+    plain = spark.createDataFrame([("a < b and b > c, x[i] = [1]",)], "t string")
+    assert plain.select(chat.escape(F.col("t"))).first()[0] == "a < b and b > c, x[i] = [1]"

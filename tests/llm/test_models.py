@@ -93,3 +93,95 @@ def test_toxicity_edges(spark):
         assert len(out) == len(rows()) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score(spark.createDataFrame([], DOCS), labels).count() == 0
     assert words(3)
+
+
+def test_quality_on_held_out_labels(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.1")
+    out = quality.query(spark, sf).toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id").quality
+    both = out.join(labels, how="inner")
+    test = both[both.index.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)]
+    assert test[test.quality == 1].kept.mean() > 0.99 and test[test.quality == 0].kept.mean() < 0.1
+
+
+def _sites():
+    """Documents of good and bad sites that differ little in form: one symbol more is weak evidence."""
+    rng, docs, labels = np.random.default_rng(11), [], []
+    for i in range(2400):
+        host, path = f"h{i % 6}", f"p{i % 12 // 6}"
+        good = rng.random() < (0.95 if i % 6 < 3 else 0.12)
+        marks = rng.binomial(40, 0.04 if good else 0.07)
+        text = " ".join(w + "#" * (k < marks) for k, w in enumerate(words(40, int(rng.integers(1000))).split()))
+        docs.append((i, text, host, path))
+        labels.append((i, int(good), 0))
+    return docs, labels
+
+
+def test_sites_raise_held_out_accuracy_and_match_numpy(spark):
+    docs, labels = _sites()
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    out = quality.judge(df, spark.createDataFrame(labels, LABELS), F.col("host"), F.col("path")).toPandas().set_index("doc_id").sort_index()
+    good = np.array([g for _, g, _ in labels])
+    test = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(docs))])
+    alone = ((1 / (1 + np.exp(-out.evidence)) >= 0.5) == good)[test].mean()
+    with_sites = ((out.score >= 0.5) == good)[test].mean()
+    assert with_sites > alone + 0.02
+
+    p, hosts, paths = 1 / (1 + np.exp(-out.evidence.to_numpy())), out.host.to_numpy(), (out.host + "/" + out.path).to_numpy()
+    mean_all = p.mean()
+
+    def strength(sums, counts, above):
+        share, weight = sums / counts, counts / counts.sum()
+        noise = (weight * above * (1 - above)).sum()
+        between = max((weight * (share - above) ** 2).sum() - (above * (1 - above) * np.ones(len(counts))).sum() / counts.sum(), 1e-6)
+        return min(max(noise / between - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    hs = {h: (p[hosts == h].sum(), (hosts == h).sum()) for h in set(hosts)}
+    hk = strength(np.array([v[0] for v in hs.values()]), np.array([v[1] for v in hs.values()]), np.full(len(hs), mean_all))
+    hq = {h: (s + hk * mean_all) / (n + hk) for h, (s, n) in hs.items()}
+    ps = {x: (p[paths == x].sum(), (paths == x).sum()) for x in set(paths)}
+    pk = strength(np.array([v[0] for v in ps.values()]), np.array([v[1] for v in ps.values()]), np.array([hq[x.split("/")[0]] for x in ps]))
+    odds = lambda q: np.log(np.clip(q, quality.MARGIN, 1 - quality.MARGIN) / (1 - np.clip(q, quality.MARGIN, 1 - quality.MARGIN)))
+    for i in range(0, len(docs), 37):
+        (s, n), (t, m) = hs[hosts[i]], ps[paths[i]]
+        up = (s - p[i] + hk * mean_all) / (n - 1 + hk)
+        own = (t - p[i] + pk * up) / (m - 1 + pk)
+        want = 1 / (1 + np.exp(-(out.evidence[i] + odds(own) - odds(mean_all))))
+        assert abs(out.score[i] - want) < 1e-9 and abs(out.host_quality[i] - hq[hosts[i]]) < 1e-9
+
+
+def test_quality_keeps_columns_of_the_input(spark):
+    odd = table(spark).selectExpr("*", "1 AS __p", "2 AS __w", "3 AS host_of", "4 AS evidence")
+    out = quality.judge(odd, spark.createDataFrame([], LABELS), F.col("source"), F.col("lang"))
+    assert out.columns == [c for c in odd.columns if c != "evidence"] + list(quality.ADDED)
+    assert {(r["__p"], r["__w"], r["host_of"]) for r in out.collect()} == {(1, 2, 3)}
+
+
+def test_the_product_of_machines_is_each_of_them_run_alone():
+    rng = np.random.default_rng(2)
+    vocabulary = {c: toxicity.WORDS[c].split()[:3] for c in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT)}
+    vocabulary[toxicity.OTHER], vocabulary[toxicity.BORDER] = ["calm", "day", "walk"], [".", ";", "!"]
+    lexicon = toxicity.Lexicon({"calm$": 0.7})
+    for _ in range(400):
+        tokens = [str(rng.choice(vocabulary[int(rng.integers(7))])) for _ in range(int(rng.integers(1, 25)))]
+        want, clause = [], []
+        for token in [*tokens, "."]:
+            if token[0].isalpha():
+                clause.append(token)
+                continue
+            states, score, matched = [0] * 5, 0.0, False
+            for word in clause:
+                symbol, weight = lexicon[word]
+                factor = 1.0
+                for k, machine in enumerate(toxicity.machines()):
+                    states[k], f, bonus = machine.step(states[k], symbol)
+                    factor *= f
+                    score += bonus
+                    matched = matched or bonus > 0
+                score += weight * factor
+                matched = matched or symbol == toxicity.INSULT
+            if matched:
+                want.append(score)
+            clause = []
+        got = list(toxicity.clause_scores(" ".join(tokens), lexicon))
+        assert np.allclose(got, want) and len(got) == len(want)
