@@ -30,3 +30,17 @@ def test_awkward_rows_pass_all_stages(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.collect()
+
+
+def test_stages_keep_columns_with_names_of_added_ones(spark, sf_dir):
+    from terrastrata.llm import mixing, shards
+
+    names = [n for n in dict.fromkeys((*rules.ADDED, *mixing.ADDED, *decontaminate.ADDED, *simhash.ADDED, "__key", "__words", "__max_mean_word", "__h", "__draw")) if n not in table(spark).columns]
+    docs = table(spark).selectExpr("*", *(f"'{i}' AS {n}" for i, n in enumerate(names)))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+    for r in kept.collect():
+        assert all(r[n] == str(i) for i, n in enumerate(names))
+    assert set(docs.columns) - set(shards.ADDED) <= set(corpus_pipeline.hilbert_shards(spark, kept, sf_dir).columns)
