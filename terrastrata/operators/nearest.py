@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Cells of a group: SIDE blocks of SIDE cells.
-SIDE = 32
+SIDE = 16
 
 
 def in_cells(rows: DataFrame, by: list[str], at: str, name: str = "__cell") -> DataFrame:
@@ -29,9 +29,9 @@ def in_cells(rows: DataFrame, by: list[str], at: str, name: str = "__cell") -> D
     cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda _, i: (i + 1) % SIDE == 0)).withColumnsRenamed({c: f"__of_{c}" for c in by})
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by), F.lit(True))
     block = F.size(F.filter("__coarse", lambda x: x <= F.col(at)))
-    joined = rows.join(cuts, same).withColumn("__block", block)
-    fine = F.size(F.filter(F.slice("__cuts", F.col("__block") * SIDE + 1, SIDE - 1), lambda x: x <= F.col(at)))
-    return joined.withColumn(name, F.col("__block") * SIDE + fine).drop("__cuts", "__coarse", "__block", *(f"__of_{c}" for c in by))
+    within = lambda k: k * SIDE + F.size(F.filter(F.slice("__cuts", k * SIDE + 1, SIDE - 1), lambda x: x <= F.col(at)))
+    cell = F.get(F.transform(F.array(block), within), F.lit(0))  # the block, found once
+    return rows.join(cuts, same).select(*rows.columns, cell.alias(name))
 
 
 def nearest(probes: DataFrame, known: DataFrame, by: list[str], at: str, value: str, gap) -> DataFrame:
