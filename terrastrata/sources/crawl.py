@@ -85,8 +85,8 @@ def _datasets(filename: str, text: str, family: str) -> Iterator[tuple]:
         raise ValueError(f"no YAML family {family}")
 
 
-def read_yaml(spark: SparkSession, path: str, family: str) -> DataFrame:
-    """YAML documents of Sentinel-2 or Landsat scenes, one row per band, with the band's pixel type."""
+def yaml_bands(texts: DataFrame, family: str) -> DataFrame:
+    """YAML documents (``filename``, ``value``) of Sentinel-2 or Landsat scenes, one row per band, with its pixel type."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in DATASETS.split(", ")]
@@ -94,12 +94,16 @@ def read_yaml(spark: SparkSession, path: str, family: str) -> DataFrame:
             rows = [r for name, text in zip(batch["filename"], batch["value"]) for r in _datasets(name, text, family)]
             yield pd.DataFrame(rows, columns=names)
 
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("filename"), "value")
-    made = texts.mapInPandas(run, DATASETS)
+    made = texts.select("filename", "value").mapInPandas(run, DATASETS)
     kind = band_type(F.col("namespace")) if family == "sentinel2" else F.lit("Int16")
     return made.withColumn("array_type", kind)
 
 
+def read_yaml(spark: SparkSession, path: str, family: str) -> DataFrame:
+    """The bands of all YAML documents at ``path``, whole files at a time."""
+    return yaml_bands(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("filename"), "value"), family)
+
+
 def read_window(spark: SparkSession, path: str, bands: list[str], x: tuple[int, int], y: tuple[int, int], tile: int) -> DataFrame:
     """Pixels of some bands in a window of a stored tile table: only its tiles' folders are read."""
     t = spark.read.parquet(path).where(F.col("band").isin(bands))

@@ -63,8 +63,8 @@ def _header(path: str, data: bytes, size: int) -> tuple | None:
     return path, kind, width, height, bands, transform, nodata, codes.get(3072, codes.get(2048)), f"POLYGON (({ring}))", size
 
 
-def read_headers(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
-    """One catalogue row per file below ``root``; files that are no TIFF are left out."""
+def headers(files: DataFrame) -> DataFrame:
+    """One catalogue row per file (``path``, ``content``, ``length``); files that are no TIFF are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in HEADER.split(", ")]
@@ -72,7 +72,12 @@ def read_headers(spark: SparkSession, root: str, pattern: str = "*.tif") -> Data
             rows = [h for p, d, n in zip(b["path"], b["content"], b["length"]) if (h := _header(p, d, n))]
             yield pd.DataFrame(rows, columns=names)
 
-    return _files(spark, root, pattern).mapInPandas(run, HEADER)
+    return files.select("path", "content", "length").mapInPandas(run, HEADER)
+
+
+def read_headers(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
+    """``headers`` of the files below ``root``."""
+    return headers(_files(spark, root, pattern))
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -104,8 +109,8 @@ def _blocks(path: str, data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]
         yield band, row, column, grid[: height - row, : width - column]
 
 
-def read_pixels(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
-    """The pixels of files in long form, nodata as null, one strip or tile at a time; files that are no TIFF are left out."""
+def pixels(files: DataFrame) -> DataFrame:
+    """The pixels of files (``path``, ``content``) in long form, nodata as null, one strip or tile at a time; files that are no TIFF are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,7 +125,12 @@ def read_pixels(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataF
                     value = cells.mask(cells == nodata) if nodata is not None else cells
                     yield pd.DataFrame({"path": path, "band": first + band + 1, "py": row + y, "px": column + x, "value": value})
 
-    return _files(spark, root, pattern).mapInPandas(run, PIXELS).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    return files.select("path", "content").mapInPandas(run, PIXELS).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def read_pixels(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
+    """``pixels`` of the files below ``root``."""
+    return pixels(_files(spark, root, pattern))
 
 
 def encode(bands: np.ndarray, transform: list[float], epsg: int, nodata: float) -> bytes:
@@ -147,23 +157,25 @@ def encode(bands: np.ndarray, transform: list[float], epsg: int, nodata: float)
     return b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(entries)) + table + b"\0\0\0\0" + extra
 
 
-def tiles(pixels: DataFrame, by: list[str], names: list[str], tile: int, transform: list[float], epsg: int, nodata: float) -> DataFrame:
+def tiles(cells: DataFrame, by: list[str], names: list[str], tile: int, transform: list[float], epsg: int, nodata: float) -> DataFrame:
     """One GeoTIFF per tile (``tile_x``, ``tile_y``) of pixels in long form: a task gathers one tile at a time."""
     if tile > 1024:
         raise ValueError("a tile has at most 1024 pixels a side")
-    cut = pixels.withColumns({"tile_x": F.expr(f"px div {tile}").cast("int"), "tile_y": F.expr(f"py div {tile}").cast("int")})
+    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("band")) - 1
+    cut = cells.where(F.col("band").isin(names) & F.col("value").isNotNull()).select(
+        *by, F.expr(f"px div {tile}").cast("int").alias("tile_x"), F.expr(f"py div {tile}").cast("int").alias("tile_y"),
+        ((place * tile + F.col("py") % tile) * tile + F.col("px") % tile).cast("int").alias("at"), F.col("value").cast("float").alias("value"),
+    )
 
     @F.pandas_udf("binary")
-    def draw(tx: pd.Series, ty: pd.Series, cells: pd.Series) -> pd.Series:
+    def draw(tx: pd.Series, ty: pd.Series, places: pd.Series, values: pd.Series) -> pd.Series:
         out = []
-        for x, y, group in zip(tx, ty, cells):
+        for x, y, at, value in zip(tx, ty, places, values):
             grid = np.full((len(names), tile, tile), nodata, "f4")
-            for c in group:
-                if c["value"] is not None:
-                    grid[names.index(c["band"]), c["py"] % tile, c["px"] % tile] = c["value"]
+            grid.reshape(-1)[at] = value
             own = [transform[0] + x * tile * transform[1], transform[1], 0.0, transform[3] + y * tile * transform[5], 0.0, transform[5]]
             out.append(encode(grid, own, epsg, nodata))
         return pd.Series(out)
 
-    gathered = cut.where(F.col("band").isin(names)).groupBy(*by, "tile_x", "tile_y").agg(F.collect_list(F.struct("band", "py", "px", "value")).alias("cells"))
-    return gathered.select(*by, "tile_x", "tile_y", draw("tile_x", "tile_y", "cells").alias("tiff"))
+    gathered = cut.groupBy(*by, "tile_x", "tile_y").agg(F.collect_list(F.struct("at", "value")).alias("c"))
+    return gathered.select(*by, "tile_x", "tile_y", draw("tile_x", "tile_y", "c.at", "c.value").alias("tiff"))

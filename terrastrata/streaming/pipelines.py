@@ -13,20 +13,28 @@ METRICS = "ts timestamp, ns string, duration long, bytes long"
 
 
 def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Crawler files as they arrive, merged into the paths under ``store``, the newest line winning.
+    """Crawler files as they arrive, as paths under ``store``; ``stored_paths`` reads them, the newest line winning.
 
-    Each batch writes a new version named by its number and then reads as the newest, so a batch that is
-    run again after a failure writes the same version again.
+    Each batch writes its own paths alone, into a folder named by its number, so a batch that is run again after a
+    failure writes the same folder again.
     """
     lines = spark.readStream.csv(source, schema=LINE, sep="\t", quote="\b")
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def keep(batch: DataFrame, number: int) -> None:
         staged = ingest.staged_paths(batch.withColumn("ingested", F.lit(number).cast("long")))
-        old = f"{store}/version={number - 1}"
-        merged = ingest.merge(spark.read.parquet(old), staged, ["pa_hash"], "pa_ingested") if number else staged
-        merged.write.mode("overwrite").parquet(f"{store}/version={number}")
+        staged.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_paths(spark: SparkSession, store: str) -> DataFrame:
+    """The newest line of each path of an ingest stream: one aggregation over its batches."""
+    return ingest.latest(spark.read.parquet(store).drop("batch"), ["pa_hash"], "pa_ingested")
+
+
+def compact(spark: SparkSession, store: str, path: str) -> None:
+    """Write ``stored_paths`` to a new place, which a catalogue table can then be pointed at."""
+    stored_paths(spark, store).write.mode("overwrite").parquet(path)
 
 
 def metrics_windows(records: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -60,15 +60,26 @@ def test_pictures():
     assert struct.unpack(">II", sinks.legend([(i, 0, 0, 255) for i in range(256)])[16:24]) == (20, 256)
 
 
-def test_coverage_chunks(spark):
+def test_coverage_chunks(spark, tmp_path):
     grid = spark.createDataFrame([("v", 0, 1, 2.5), ("v", 2, 0, 7.0)], "band string, py int, px int, value double")
     header = sinks.coverage_header({"t": 2}, ["v"], "Float32", 2, 3)
-    out = list(sinks.coverage_chunks(header, {"t": [1.0, 2.0]}, grid, ["v"], 2, 3, -9.0))
+    sinks.write_coverage(str(tmp_path / "c"), header, {"t": [1.0, 2.0]}, grid, ["v"], 2, 3, -9.0)
+    out = list(sinks.coverage_chunks(spark.read.parquet(str(tmp_path / "c"))))
     assert out[0][4:].decode() == header and struct.unpack("<2d", out[1][4:]) == (1.0, 2.0) and out[-1] == bytes([1, 0, 0, 0])
     body = b"".join(c[4:] for c in out[2:-1])
     assert struct.unpack("<6f", body) == (-9.0, 2.5, -9.0, -9.0, 7.0, -9.0)
 
 
+def test_coverage_parts_hold_some_rows_each(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "CHUNK", 40)  # five rows of two pixels
+    rows = [(b, y, x, float(100 * i + 2 * y + x)) for i, b in enumerate("vw") for y in range(12) for x in range(2) if not (b == "w" and y in (5, 6, 7, 8, 9))]
+    parts = sinks.coverage_parts(spark.createDataFrame(rows, "band string, py int, px int, value double"), ["v", "w"], 2, 12, -1.0).orderBy("at").collect()
+    assert [(r["at"], len(r["bytes"])) for r in parts] == [(0, 44), (1, 44), (2, 20), (3, 44), (4, 44), (5, 20)]
+    got = [v for r in parts for (v,) in struct.iter_unpack("<f", r["bytes"][4:])]
+    held = {(b, y, x): v for b, y, x, v in rows}
+    assert got == [held.get((b, y, x), -1.0) for b in "vw" for y in range(12) for x in range(2)]
+
+
 def test_ingest_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -77,8 +88,10 @@ def test_ingest_stream(spark, tmp_path):
     run()
     (source / "2.tsv").write_text("/a/b\tposix\t{}\n")
     run()
-    out = {r["pa_path"]: r["pa_type"] for r in spark.read.parquet(str(tmp_path / "store" / "version=1")).collect()}
-    assert out == {"/a/b": "posix", "/a/c": "gdal"}
+    assert spark.read.parquet(str(tmp_path / "store" / "batch=1")).count() == 1  # a batch writes what it brings
+    pipelines.compact(spark, str(tmp_path / "store"), str(tmp_path / "compact"))
+    for stored in (pipelines.stored_paths(spark, str(tmp_path / "store")), spark.read.parquet(str(tmp_path / "compact"))):
+        assert {r["pa_path"]: r["pa_type"] for r in stored.collect()} == {"/a/b": "posix", "/a/c": "gdal"}
 
 
 def test_metrics_stream(spark, tmp_path):
