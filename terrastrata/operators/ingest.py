@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ DATASET = (
 DOCUMENT = f"struct<filename:string,file_type:string,geo_metadata:array<{DATASET}>>"
 
 #: Patterns of file names, the first that matches wins. Fields are named groups.
-RULES = (
+PATTERNS = (
     ("landsat", r"LC(?P<mission>\d)(?P<path>\d\d\d)(?P<row>\d\d\d)(?P<year>\d\d\d\d)(?P<julian_day>\d\d\d)(?P<processing_level>[a-zA-Z0-9]+)_(?P<band>[a-zA-Z0-9]+)"),
     ("modis43A4", r"^LHTC_(?P<year>\d\d\d\d)(?P<julian_day>\d\d\d).(?P<horizontal>h\d\d)(?P<vertical>v\d\d).(?P<resolution>\d\d\d).[0-9]+"),
     ("lhtc", r"^COMPOSITE_(?P<namespace>LOW|HIGH).+_PER_20.nc$"),
@@ -45,14 +47,75 @@ RULES = (
     ("default", r".+"),
 )
 
+
+
+class Rule(NamedTuple):
+    """How a collection's files are named, and what goes for them besides what they say themselves.
+
+    ``namespace`` says where variable names come from: the file name (``path``), the raster (``dataset``) or both
+    (``combine``). ``box`` is (left, top, right, bottom). ``x_places`` and ``y_places`` are (pattern, template) of the
+    rasters that hold each pixel's place; ``{field}`` in a template is a named group of the pattern.
+    """
+
+    name: str
+    pattern: str
+    namespace: str = "dataset"
+    full_path: bool = False
+    srs: str | None = None
+    box: tuple[float, float, float, float] | None = None
+    x_places: tuple[str, str] | None = None
+    y_places: tuple[str, str] | None = None
+
+
+#: What some rules say besides their patterns.
+_NAMED_BY_PATH = ("modis-fc", "sentinel2", "chirps2.0", "era-interim", "sentinel2_ard_nbar_nbart", "sentinel2_ard_qa_supp")
+_EXTRA = {
+    "lhtc": {"namespace": "combine"},
+    "ereef": {"box": (-180.0, 90.0, 180.0, -90.0), "x_places": ("(?P<filename>.*)", 'NETCDF:"{filename}":lon_v'), "y_places": ("(?P<filename>.*)", 'NETCDF:"{filename}":lat_v')},
+    **{n: {"namespace": "path"} for n in _NAMED_BY_PATH},
+}
+RULES = tuple(Rule(n, p, **_EXTRA.get(n, {})) for n, p in PATTERNS)
+
 #: Pixel types of bands that aren't Byte.
 BAND_TYPES = {
     "Int16": (
-        "nbar_blue nbar_coastal_aerosol nbar_green nbar_nir_1 nbar_nir_2 nbar_red nbar_red_edge_1 nbar_red_edge_2 nbar_red_edge_3 nbar_swir_2 nbar_swir_3 "
-        "nbart_blue nbart_coastal_aerosol nbart_green nbart_nir_1 nbart_nir_2 nbart_red nbart_red_edge_1 nbart_red_edge_2 nbart_red_edge_3 nbart_swir_2 nbart_swir_3"
+        "nbar_blue",
+        "nbar_coastal_aerosol",
+        "nbar_green",
+        "nbar_nir_1",
+        "nbar_nir_2",
+        "nbar_red",
+        "nbar_red_edge_1",
+        "nbar_red_edge_2",
+        "nbar_red_edge_3",
+        "nbar_swir_2",
+        "nbar_swir_3",
+        "nbart_blue",
+        "nbart_coastal_aerosol",
+        "nbart_green",
+        "nbart_nir_1",
+        "nbart_nir_2",
+        "nbart_red",
+        "nbart_red_edge_1",
+        "nbart_red_edge_2",
+        "nbart_red_edge_3",
+        "nbart_swir_2",
+        "nbart_swir_3",
     ),
-    "Float32": "azimuthal_exiting azimuthal_incident exiting incident relative_azimuth relative_slope satellite_azimuth satellite_view solar_azimuth solar_zenith timedelta",
-}
+    "Float32": (
+        "azimuthal_exiting",
+        "azimuthal_incident",
+        "exiting",
+        "incident",
+        "relative_azimuth",
+        "relative_slope",
+        "satellite_azimuth",
+        "satellite_view",
+        "solar_azimuth",
+        "solar_zenith",
+        "timedelta",
+    ),
+}
 
 
 def lines(text: DataFrame, column: str = "value") -> DataFrame:
@@ -101,30 +164,87 @@ def _java(pattern: str) -> str:
     return re.sub(r"\(\?P<\w+>", "(", pattern)
 
 
-def matched_rule(name: Column) -> Column:
-    """The first rule whose pattern the file name matches."""
-    return F.coalesce(*(F.when(name.rlike(_java(p)), F.lit(rule)) for rule, p in RULES))
+def read_rules(text: str) -> tuple[Rule, ...]:
+    """A user's own rules from JSON: ``{"rule_sets": [{"collection", "pattern", "namespace", "match_full_path", "srs_text", "bbox", "geo_loc"}]}``."""
+    out = []
+    for i, r in enumerate(json.loads(text)["rule_sets"]):
+        style, box, at = r.get("namespace", "ns_dataset").removeprefix("ns_"), r.get("bbox"), r.get("geo_loc") or {}
+        if style not in ("path", "dataset", "combine"):
+            raise ValueError(f"no namespace {style}")
+        if box is not None and len(box) != 4:
+            raise ValueError("a box is left, top, right and bottom")
+        x, y = ((at[f"{a}_dataset_pattern"], re.sub(r"\{\{\s*\.(\w+)\s*\}\}", r"{\1}", at[f"{a}_dataset_template"])) if at else None for a in "xy")
+        out.append(Rule(r.get("collection") or f"rule{i}", r["pattern"], style, bool(r.get("match_full_path")), r.get("srs_text") or None, tuple(box) if box else None, x, y))
+    names = [r.name for r in out]
+    if len(set(names)) < len(names):
+        raise ValueError("two rules have one name")
+    return tuple(out)
+
 
+def _seen(rule: Rule, name: Column, path: Column | None) -> Column:
+    if rule.full_path and path is None:
+        raise ValueError(f"rule {rule.name} is about whole paths")
+    return path if rule.full_path else name
 
-def rule_field(name: Column, rule: Column, field: str) -> Column:
+
+def matched_rule(name: Column, path: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The first rule whose pattern the file name (or, if it says so, the whole path) matches; null if there is none."""
+    return F.coalesce(*(F.when(_seen(r, name, path).rlike(_java(r.pattern)), F.lit(r.name)) for r in rules))
+
+
+def rule_field(name: Column, rule: Column, field: str, path: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
     """A named field of the matched rule, null where the rule has none."""
     cases = []
-    for known, pattern in RULES:
-        groups = re.findall(r"\(\?P<(\w+)>", pattern)
+    for known in rules:
+        groups = re.findall(r"\(\?P<(\w+)>", known.pattern)
         if field in groups:
-            cases.append(F.when(rule == known, F.regexp_extract(name, _java(pattern), groups.index(field) + 1)))
+            cases.append(F.when(rule == known.name, F.regexp_extract(_seen(known, name, path), _java(known.pattern), groups.index(field) + 1)))
     return F.coalesce(*cases) if cases else F.lit(None).cast("string")
 
 
-def name_time(name: Column, rule: Column) -> Column:
+def name_time(name: Column, rule: Column, path: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
     """The time in a file name by its rule's fields."""
-    fields = [rule_field(name, rule, f).try_cast("int") for f in ("year", "julian_day", "month", "day", "hour", "minute", "second")]
+    fields = [rule_field(name, rule, f, path, rules).try_cast("int") for f in ("year", "julian_day", "month", "day", "hour", "minute", "second")]
     return times.from_name(*fields)
 
 
+def variable_name(by_path: Column, by_dataset: Column, rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A variable's name from the file name, the raster, or both with a colon, as the rule says."""
+    styles = {s: [r.name for r in rules if r.namespace == s] for s in ("path", "combine")}
+    both = F.concat(F.coalesce(by_path, F.lit("")), F.lit(":"), F.coalesce(by_dataset, F.lit("")))
+    return F.when(rule.isin(styles["path"]), by_path).when(rule.isin(styles["combine"]), both).otherwise(by_dataset)
+
+
+def rule_polygon(rule: Column, own: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The footprint: the box that the rule fixes, else the file's own."""
+    out = own
+    for r in rules:
+        if r.box:
+            left, top, right, bottom = r.box
+            ring = ((left, top), (left, bottom), (right, bottom), (right, top), (left, top))
+            out = F.when(rule == r.name, F.lit("POLYGON ((" + ",".join(f"{x:f} {y:f}" for x, y in ring) + "))")).otherwise(out)
+    return out
+
+
+def place_raster(path: Column, rule: Column, axis: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The raster with the ``x`` or ``y`` places of a file's pixels, null for rules without any or names that don't match."""
+    cases = []
+    for r in rules:
+        found = r.x_places if axis == "x" else r.y_places
+        if found:
+            pattern, template = found
+            groups = re.findall(r"\(\?P<(\w+)>", pattern)
+            pieces = [
+                F.regexp_extract(path, _java(pattern), groups.index(t) + 1) if i % 2 else F.lit(t)
+                for i, t in enumerate(re.split(r"\{(\w+)\}", template))
+            ]
+            cases.append(F.when((rule == r.name) & path.rlike(_java(pattern)), F.concat(*pieces)))
+    return F.coalesce(*cases) if cases else F.lit(None).cast("string")
+
+
 def band_type(name: Column) -> Column:
     """Pixel type of a band by its name, Byte unless it is known."""
-    cases = [F.when(name.isin(names.split()), F.lit(kind)) for kind, names in BAND_TYPES.items()]
+    cases = [F.when(name.isin(list(names)), F.lit(kind)) for kind, names in BAND_TYPES.items()]
     return F.coalesce(*cases, F.lit("Byte"))
 
 

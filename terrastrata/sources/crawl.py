@@ -52,8 +52,11 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = found.select(F.col("path"), F.lit("file").alias("type"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    if pattern:
-        files = files.where(file_filter(pattern))
+    return with_ids(files.where(file_filter(pattern)) if pattern else files)
+
+
+def with_ids(files: DataFrame) -> DataFrame:
+    """Listed files with their ids."""
     return files.withColumn("id", F.md5(F.concat_ws("|", "path", "size", F.unix_micros("mtime"))))
 
 
@@ -66,7 +69,7 @@ def posix_lines(files: DataFrame) -> DataFrame:
 def _datasets(filename: str, text: str, family: str) -> Iterator[tuple]:
     import yaml
 
-    doc = yaml.safe_load(text) or {}
+    doc = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
     folder = filename.rsplit("/", 1)[0]
     ring = lambda points: "POLYGON ((" + ",".join(f"{x} {y}" for x, y in points) + "))"
     if family == "sentinel2":
