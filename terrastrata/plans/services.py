@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import pixels
@@ -28,6 +30,9 @@ class Layer:
     colours: list[tuple[int, int, int, int]] = field(default_factory=list)
     zoom_limit: float = 0.0
     accumulate_minutes: int = 0
+    mask_tests: list[str] = field(default_factory=list)
+    interpolate: bool = True
+    sources: list[tuple[str, str]] = field(default_factory=list)
 
 
 @dataclass
@@ -41,6 +46,50 @@ class TileRequest:
     resolution: float = 0.0
 
 
+def layer_document(text: str) -> dict:
+    """A configuration: JSON in which what stands between two ``$gdoc$`` is a text as it is."""
+    parts = text.split("$gdoc$")
+    if len(parts) % 2 == 0:
+        raise ValueError("a $gdoc$ isn't closed")
+    return json.loads("".join(json.dumps(p) if i % 2 else p for i, p in enumerate(parts)))
+
+
+def layer_of(entry: dict) -> Layer:
+    """One layer of a configuration; its bands are the variables of its products."""
+    products = list(entry.get("rgb_products") or [])
+    bands = list(dict.fromkeys(v for p in products for v in expressions.parse(p).variables))
+    mask, palette = entry.get("mask") or {}, entry.get("palette") or {}
+    step = 1440 * entry.get("step_days", 0) + 60 * entry.get("step_hours", 0) + entry.get("step_minutes", 0)
+    return Layer(
+        entry["name"], bands, products, mask.get("value") or None, float(entry.get("offset_value", 0)), float(entry.get("scale_value", 0)),
+        float(entry.get("clip_value", 254)), [tuple(c[k] for k in "RGBA") for c in palette.get("colours") or []], float(entry.get("zoom_limit", 0)),
+        step if entry.get("accum") else 0, list(mask.get("bit_tests") or []), bool(palette.get("interpolate")),
+        [(s.get("namespace", ""), s["name"]) for s in entry.get("input_layers") or []],
+    )
+
+
+def read_layers(spark: SparkSession, root: str) -> dict[str, list[Layer]]:
+    """The layers of every ``config.json`` below ``root``, by folder (the namespace, ``.`` for ``root`` itself).
+
+    A layer without a namespace among its ``input_layers`` means its own. Configurations are short; they come to the driver.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "config.json").text(root, wholetext=True)
+    out = {}
+    for path, text in files.select(F.input_file_name(), "value").collect():
+        # The folder below root, whatever scheme its address is written with.
+        at = re.search(re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/")) + r"/(?:(.*)/)?config\.json$", path)
+        namespace = at[1] or "." if at else path.rsplit("/", 1)[0]
+        out[namespace] = [layer_of(e) for e in layer_document(text).get("layers", [])]
+        for layer in out[namespace]:
+            layer.sources = [(n or namespace, s) for n, s in layer.sources]
+    return out
+
+
+def source_layers(layers: dict[str, list[Layer]], layer: Layer) -> list[Layer]:
+    """The layers that a fused one is made of, in order; an unknown one is an error."""
+    return [find_layer(layers.get(n, []), s) for n, s in layer.sources]
+
+
 def find_layer(layers: list[Layer], name: str) -> Layer:
     """The first layer of that name."""
     for layer in layers:
@@ -54,7 +103,8 @@ def _seen(source: DataFrame, layer: Layer, request: TileRequest) -> DataFrame:
     start, end = (F.lit(t).cast("timestamp_ntz") for t in (request.start, request.end))
     out = source.where(F.col("band").isin(layer.bands) & F.col("ts").between(start, end))
     out = out.where(F.col("px").between(*request.x) & F.col("py").between(*request.y))
-    return out.where(~raster.masked_by_value(F.col("qa"), layer.mask_bits)) if layer.mask_bits else out
+    out = out.where(~raster.masked_by_value(F.col("qa"), layer.mask_bits)) if layer.mask_bits else out
+    return out.where(~raster.masked_by_tests(F.col("qa"), layer.mask_tests)) if layer.mask_tests else out
 
 
 def products(source: DataFrame, layer: Layer, request: TileRequest) -> DataFrame:
@@ -78,7 +128,7 @@ def get_map(source: DataFrame, layer: Layer, request: TileRequest) -> DataFrame:
         return raster.rgb(scaled, *names).select("py", "px", "r", "g", "b", "a")
     if len(names) != 1:
         raise ValueError("a map shows one product or three")
-    return raster.coloured(scaled.withColumnRenamed(names[0], "byte"), "byte", layer.colours).select("py", "px", "r", "g", "b", "a")
+    return raster.coloured(scaled.withColumnRenamed(names[0], "byte"), "byte", layer.colours, layer.interpolate).select("py", "px", "r", "g", "b", "a")
 
 
 def get_coverage(source: DataFrame, layer: Layer, request: TileRequest, subset: str = "", tile: int = 1024) -> DataFrame:

@@ -154,3 +154,41 @@ def test_geotiff_tiles_and_deflate(spark, tmp_path):
     packed = data.replace(struct.pack("<HHII", 259, 3, 1, 8), struct.pack("<HHII", 259, 3, 1, 5))
     with pytest.raises(ValueError, match="can't be read"):
         list(G._blocks("b.tif", packed))
+
+
+def test_layer_configuration(spark, tmp_path):
+    from terrastrata.plans import services as S
+
+    (tmp_path / "land").mkdir()
+    (tmp_path / "config.json").write_text(
+        '{"layers": [{"name": "a", "rgb_products": [$gdoc$x = (A -\n N) / \t2$gdoc$], "mask": {"bit_tests": ["110", "100"]}, "step_hours": 2, "accum": true,'
+        ' "palette": {"interpolate": false, "colours": [{"R": 1, "G": 2, "B": 3, "A": 255}]}}, {"name": "b", "input_layers": [{"name": "a"}, {"namespace": "land", "name": "c"}]}]}'
+    )
+    (tmp_path / "land" / "config.json").write_text('{"layers": [{"name": "c", "rgb_products": ["R"], "zoom_limit": 10}]}')
+    out = S.read_layers(spark, str(tmp_path))
+    a, b = out["."]
+    assert set(out) == {".", "land"} and a.bands == ["A", "N"] and a.mask_tests == ["110", "100"] and a.accumulate_minutes == 120
+    assert a.colours == [(1, 2, 3, 255)] and not a.interpolate and out["land"][0].zoom_limit == 10
+    assert [x.name for x in S.source_layers(out, b)] == ["a", "c"]
+    with pytest.raises(ValueError, match="isn't closed"):
+        S.layer_document("{} $gdoc$")
+    with pytest.raises(LookupError):
+        S.source_layers({}, b)
+    rows = [("A", 1.0), ("N", 4.0)]
+    pixels = spark.createDataFrame([(n, 0, 0, v, q, 1, 1, 1, 1) for n, v in rows for q in (0, 4)], "band string, px int, py int, value double, qa int, k1 int, k2 int, k3 int, k4 int")
+    pixels = pixels.withColumn("value", F.when(F.col("qa") == 4, -9.0).otherwise(F.col("value"))).withColumn("ts", F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("qa")))
+    seen = S.products(pixels, a, S.TileRequest((0, 1), (0, 1), "2020-01-01", "2020-01-02")).collect()
+    assert [r["x"] for r in seen] == [-1.5]  # the later, masked value isn't seen
+
+
+def test_rule_sets_of_a_user():
+    from terrastrata.operators import ingest
+
+    rules = ingest.read_rules('{"rule_sets": [{"pattern": "roms", "bbox": [-180, 90, 180, -90]}]}')
+    assert rules[0].box == (-180, 90, 180, -90) and rules[0].namespace == "dataset" and rules[0].name == "rule0"
+    for bad, error in (('{"pattern": "a", "namespace": "ns_x"}', "no namespace"), ('{"pattern": "a", "bbox": [1]}', "a box is"), ('{"pattern": "a", "collection": "r"}, {"pattern": "b", "collection": "r"}', "one name")):
+        with pytest.raises(ValueError, match=error):
+            ingest.read_rules(f'{{"rule_sets": [{bad}]}}')
+    whole = ingest.read_rules('{"rule_sets": [{"pattern": "/a/", "match_full_path": true}]}')
+    with pytest.raises(ValueError, match="whole paths"):
+        ingest.matched_rule(F.lit("x"), rules=whole)
