@@ -103,8 +103,11 @@ class Lexicon(dict):
 
 def clause_scores(text: str, lexicon: Lexicon) -> Iterator[float]:
     """Scores of the clauses of ``text`` that hold an insult or a threat."""
+    return _scored(_TOKEN.findall(text.lower()), lexicon)
+
+
+def _scored(tokens: list[str], lexicon: Lexicon) -> Iterator[float]:
     arcs, start = lexicon.arcs, (0,) * 5
-    tokens = _TOKEN.findall(text.lower())
     classes = [lexicon[t] for t in tokens]
     if not any(c in (INSULT, THREAT) for c, _ in classes):
         return
@@ -120,11 +123,19 @@ def clause_scores(text: str, lexicon: Lexicon) -> Iterator[float]:
         matched = matched or symbol == INSULT or bonus > 0
 
 
-def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Bounded features of a text: of its clauses' sum, of the strongest, and of their number."""
-    scores = list(clause_scores(text, lexicon)) if text else []
-    total, top = sum(scores), max(scores, default=0.0)
-    return math.log1p(max(total, 0.0)), min(max(top, 0.0), 10.0) / 5, math.log1p(len(scores))
+#: What a text's clauses say about it.
+EVIDENCE = ("total", "top", "clauses", "density")
+
+
+def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
+    """``EVIDENCE`` of a text: its clauses' sum, the strongest, their number, and the sum in a hundred tokens.
+
+    In a long text a clause matches now and then by chance; the last one tells this from a short text with one.
+    """
+    tokens = _TOKEN.findall(text.lower()) if text else []
+    scores = list(_scored(tokens, lexicon))
+    total, top = max(sum(scores), 0.0), max(scores, default=0.0)
+    return math.log1p(total), min(max(top, 0.0), 10.0) / 5, math.log1p(len(scores)), math.log1p(100 * total / max(len(tokens), 1))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -183,11 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[dict[
 
 
 def _features(learned: dict[str, float]):
-    @F.pandas_udf("total double, top double, clauses double")
+    @F.pandas_udf(", ".join(f"{e} double" for e in EVIDENCE))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(learned)
         for texts in batches:
-            yield pd.DataFrame([evidence(t, lexicon) for t in texts], columns=["total", "top", "clauses"], dtype=float)
+            yield pd.DataFrame([evidence(t, lexicon) for t in texts], columns=list(EVIDENCE), dtype=float)
 
     return features
 
@@ -202,8 +213,8 @@ def score(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame
     docs = docs.select("doc_id", "text")
     learned, weights = fit(docs, labels, most)
     scored = docs.select("doc_id", _features(learned)(F.col("text")).alias("f"))
-    linear = F.lit(float(weights[3]))
-    for name, w in zip(("total", "top", "clauses"), weights):
+    linear = F.lit(float(weights[-1]))
+    for name, w in zip(EVIDENCE, weights):
         linear = linear + F.lit(float(w)) * F.col(f"f.{name}")
     scored = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-linear))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
